@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import bpe, embed_dedup, packing, pii, quality, secrets, sharding, url_filters
+from kinloom.llm import bpe, embed_dedup, jaccard_join, packing, pii, quality, secrets, sharding, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard_join.components(_table(spark, sf_dir, "documents"), 3, "0.9")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors."""
     return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
@@ -67,7 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_packing, op4_quality_cascade, op6_embedding_dedup, op7_bpe, op8_sharding, op9_pii, op10_url_filter)
+    f.__name__: f for f in (op1_secret_scan, op3_packing, op4_quality_cascade, op5_jaccard_join, op6_embedding_dedup, op7_bpe, op8_sharding, op9_pii, op10_url_filter)
 }
 
 SQL: dict[str, str] = {}
