@@ -1,9 +1,10 @@
 """Byte-pair encoding and decoding by batched numpy merge rounds.
 
-The symbols of many words lie in one flat array. A round looks up every neighbouring pair by binary search over
+The symbols of many words lie in one flat array. A round looks up the pairs that are new by binary search over
 the sorted pair keys, takes for each word the lowest rank, and merges all occurrences of that pair in the word at
-once. Words leave the array when none of their pairs can be merged. Texts are cut at white space first, and a
-bounded cache (``CACHE`` entries, emptied when full, without effect on results) holds the ids of each piece.
+once. Words leave the array when none of their pairs can be merged. Texts are cut at ASCII white space first (the
+vocabulary's own pattern skips other white space), and a bounded cache (``CACHE`` entries, emptied when full, without
+effect on results) holds the ids of each piece.
 """
 
 from __future__ import annotations
@@ -16,15 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 500_000
-
-#: White space as the vocabulary's normaliser sees it, less what str.split() adds to it.
-_EXTRA_SPACE = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+CACHE = 1_500_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -41,6 +39,19 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[rows] - ends + each, each)], each
 
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for, and keeps the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class WordBpe:
     """A byte-level BPE vocabulary with word ends, read from a tokenizers JSON file."""
 
@@ -64,14 +75,14 @@ class WordBpe:
         self.last = np.array([vocab[letters[b] + self.end] for b in range(256)], np.int64)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.base = size
-        keys = np.array([vocab[a] * size + vocab[b] for a, b in merges], np.int64)
+        keys = np.array([vocab[a] * size + vocab[b] for a, b in merges], np.uint32 if size < 1 << 16 else np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,18 +90,21 @@ class WordBpe:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         owner, symbols = np.repeat(np.arange(len(words)), lengths), self.inner[raw]
-        symbols[np.cumsum(lengths)[lengths > 0] - 1] = self.last[raw[np.cumsum(lengths)[lengths > 0] - 1]]
-        done_owner, done_place, done_symbols = [], [], []
+        final = np.cumsum(lengths)[lengths > 0] - 1
+        symbols[final] = self.last[raw[final]]
+        done_owner, done_symbols = [], []
         none = np.int64(len(self.ranks))
+        rank = np.full(len(symbols), none)  # of the pair that begins here
+        stale = np.arange(len(symbols))
         while len(symbols):
-            pair = symbols[:-1] * self.base + symbols[1:]
+            stale = stale[(stale < len(symbols) - 1)]
+            stale = stale[owner[stale] == owner[stale + 1]]
+            pair = (symbols[stale] * self.base + symbols[stale + 1]).astype(self.keys.dtype)
             at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == pair) & (owner[:-1] == owner[1:]), self.ranks[at], none)
-            rank = np.append(rank, none)
+            rank[stale] = np.where(self.keys[at] == pair, self.ranks[at], none)
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = np.minimum.reduceat(rank, first)
-            sizes = np.diff(np.append(first, len(symbols)))
-            each = np.repeat(best, sizes)
+            each = np.repeat(best, np.diff(np.append(first, len(symbols))))
             over = each == none
             if over.any():
                 done_owner.append(owner[over])
@@ -101,12 +115,21 @@ class WordBpe:
                     break
             hit = rank == each
             # in a run such as "aaa" every second pair is taken, from the left
-            place = np.arange(len(hit))
-            begun = np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), place, 0))
-            hit &= (place - begun) % 2 == 0
-            symbols = np.where(hit, self.merged[np.minimum(each, none - 1)], symbols)
-            keep = ~np.append(False, hit[:-1])
-            owner, symbols = owner[keep], symbols[keep]
+            if (hit[1:] & hit[:-1]).any():
+                place = np.arange(len(hit))
+                begun = np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), place, 0))
+                hit &= (place - begun) % 2 == 0
+            at = np.flatnonzero(hit)
+            symbols[at] = self.merged[each[at]]
+            keep = np.ones(len(hit), bool)
+            keep[at + 1] = False
+            owner, symbols, rank = owner[keep], symbols[keep], rank[keep]
+            # pairs with a merged symbol are new: that which begins there and that which ends there
+            at -= np.arange(len(at))
+            rank[at] = none
+            before = at[at > 0] - 1
+            rank[before] = none
+            stale = np.concatenate([at, before])
         if not done_owner:
             return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         owner, symbols = np.concatenate(done_owner), np.concatenate(done_symbols)
@@ -125,13 +148,16 @@ class WordBpe:
     def _words(self, part: str) -> list[bytes | int]:
         if not part.isascii():
             # per character, as the library does: a final sigma is not treated apart
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-        else:
-            part = part.lower()
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        part = part.lower()
+        if part.isalpha():
+            return [part.encode()]
+        if part[-1:] in (",", ".") and part[:-1].isalpha():
+            return [part[:-1].encode(), part[-1:].encode()]
         return [w.encode() for w in self.words.findall(part)]
 
     def pieces(self, pieces: list[str]) -> None:
-        """Take new pieces into the cache."""
+        """Keep the ids of pieces that the index has just numbered."""
         parts = [self._parts(p) for p in pieces]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         words = [w for p in parts for w in p]
@@ -145,24 +171,24 @@ class WordBpe:
         flat, each = _gather(ids, np.cumsum(sizes) - sizes, sizes, rows)
         lengths = np.bincount(np.repeat(np.arange(len(parts)), counts), each, minlength=len(parts)).astype(np.int64)
         starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat]).astype(np.int32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text (int32)."""
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text (int32), none of them null."""
         if len(self.index) > CACHE:
             self.reset()
-        split = [(_SPACE.split(t) if _EXTRA_SPACE.search(t) else t.split()) for t in texts]
-        index = self.index
-        new = list({p for s in split for p in s if p not in index})
-        if new:
+        cut = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        pieces = cut.flatten().dictionary_encode()
+        known = self.index.__getitem__
+        number = np.fromiter(map(known, pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
+        if self.index.new:
+            new, self.index.new = self.index.new, []
             self.pieces(new)
-        out = []
-        for s in split:
-            rows = np.fromiter(map(index.__getitem__, s), np.int64, len(s))
-            out.append(_gather(self.flat, self.starts, self.lengths, rows)[0])
-        return out
+        rows, ends = number[pieces.indices.to_numpy()], np.cumsum(pc.list_value_length(cut).to_numpy())
+        ids, each = _gather(self.flat, self.starts, self.lengths, rows)
+        before = np.append(0, np.cumsum(each))
+        return np.split(ids, before[ends[:-1]]) if len(ends) else []
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens, a space between them: what the library gives for a vocabulary without a decoder."""
@@ -184,20 +210,24 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def batches(stream: Iterator[pa.RecordBatch], text: int = 1, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(stream: Iterator[pa.RecordBatch], text: int = 1, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of about ``most`` bytes of text at the most (one row at least), with their texts, null as empty."""
     for batch in stream:
-        column = batch.column(text)
-        sizes = np.cumsum(np.fromiter((len(v.as_buffer() or b"") if v.is_valid else 0 for v in column.cast(pa.large_binary())), np.int64, len(column)))
+        column = pc.fill_null(batch.column(text), "")
+        sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(column):
-            past = sizes[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, past + most, "right")))
-            part = batch.slice(at, end - at)
-            yield part, [t or "" for t in part.column(text).to_pylist()]
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at), column.slice(at, end - at)
             at = end
 
 
+def batches(stream: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """As :func:`slices`, the texts as a list."""
+    for part, column in slices(stream, text):
+        yield part, column.to_pylist()
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id`` and ``ids`` (array of int), the whole text's ids.
 
@@ -208,7 +238,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(where)
-        for batch, texts in batches(stream):
+        for batch, texts in slices(stream):
             ids = bpe.encode(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["doc_id", "ids"])
 
@@ -246,7 +276,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(where)
-        for batch, texts in batches(stream):
+        for batch, texts in slices(stream):
             ids = bpe.encode(texts)
             yield pa.RecordBatch.from_arrays(
                 [

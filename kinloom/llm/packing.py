@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(where)
-        for batch, texts in bpe.batches(stream):
+        for batch, texts in bpe.slices(stream):
             row, start, size, crc, total, own = [], [], [], [], [], []
             for i, ids in enumerate(model.encode(texts)):
                 ids = np.append(ids, separator).astype("<u4")
