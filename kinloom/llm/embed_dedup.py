@@ -22,7 +22,10 @@ from pyspark.sql import types as T
 from kinloom.operators.components import connected_components
 from kinloom.plans.lineage import cut
 
-SAMPLE, TABLES, BLOCK, THRESHOLD, ROUNDS, SEED = 20_000, 5, 2048, 0.98, 40, 11
+SAMPLE, TABLES, BLOCK, GROUP, THRESHOLD, ROUNDS, SEED = 20_000, 5, 2048, 20_000, 0.98, 40, 11
+
+#: Buckets up to this size are compared row by row for all buckets at once; larger ones by a product of matrices.
+SMALL = 48
 
 
 class Quantiser:
@@ -116,30 +119,41 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, tables: int = T
     sizes = spread.groupBy("label", "tab", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = spread.join(sizes.drop("n"), ["label", "tab", "value"]).withColumn("own", F.pmod(F.xxhash64("node", "tab"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "times", "vector", "code", "label", "tab", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    groups = max(1, tables * classes.count() // GROUP)
+    bucket = F.xxhash64("label", "tab", "value", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select("node", "times", "vector", "code", "tab", "own", (F.col("own") != F.col("other")).alias("across"), bucket.alias("bucket")).withColumn("part", F.pmod("bucket", F.lit(groups)))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        tab, low, high = (int(frame[c].iloc[0]) for c in ("tab", "low", "high"))
+        frame = frame.sort_values(["bucket", "tab", "node"], kind="stable")
         vectors = np.frombuffer(b"".join(frame["vector"]), np.float64).reshape(len(frame), model.size)
         vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        codes, times, nodes, own = frame["code"].to_numpy().view(np.uint64), frame["times"].to_numpy(), frame["node"].to_numpy(), frame["own"].to_numpy()
+        codes, times, nodes, own, tabs, across, buckets = (frame[c].to_numpy() for c in ("code", "times", "node", "own", "tab", "across", "bucket"))
+        keys = np.stack([(codes.view(np.uint64) >> np.uint64(a)) & np.uint64((1 << w) - 1) for a, w in cuts], 1)
+        starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+        sizes = np.diff(np.append(starts, len(frame)))
         links = np.zeros(len(frame), np.int64)
-        for a in range(0, len(frame), 512):
-            side = slice(a, a + 512)
-            near = vectors[side] @ vectors.T >= threshold
-            near &= nodes[side, None] != nodes[None]
-            if low != high:  # this group compares the two blocks with each other only
-                near &= own[side, None] != own[None]
-            for begin, width in cuts[:tab]:  # an earlier table has counted the pair
-                mask = np.uint64((1 << width) - 1)
-                key = (codes >> np.uint64(begin)) & mask
-                near &= key[side, None] != key[None]
-            links[side] = near @ times
-        keep = links > 0
-        parent = _forest(vectors[keep], nodes[keep], own[keep], codes[keep], low != high, cuts[:tab], threshold)
-        return pd.DataFrame({"node": nodes[keep], "links": links[keep], "parent": parent})
-
-    found = cut(dealt.groupBy("label", "tab", "value", "low", "high").applyInPandas(compare, "node long, links long, parent long"))
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        size_of = np.repeat(sizes, sizes)
+        for lag in range(1, min(SMALL, int(sizes.max()))):
+            at = np.flatnonzero((size_of[lag:] <= SMALL) & (buckets[lag:] == buckets[:-lag]))
+            # across two blocks only rows of different blocks; pairs that an earlier table brings together count there
+            at = at[(nodes[at] != nodes[at + lag]) & (~across[at] | (own[at] != own[at + lag]))]
+            at = at[~((keys[at] == keys[at + lag]) & (np.arange(len(cuts))[None] < tabs[at, None])).any(1)]
+            at = at[np.einsum("ij,ij->i", vectors[at], vectors[at + lag]) >= threshold]
+            np.add.at(links, at, times[at + lag])
+            np.add.at(links, at + lag, times[at])
+            ends.append((nodes[at], nodes[at + lag]))
+        for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            own_rows = slice(start, start + size)
+            got, parent = _bucket(vectors[own_rows], keys[own_rows, : tabs[start]], nodes[own_rows], own[own_rows], times[own_rows], bool(across[start]), threshold)
+            links[own_rows] = got
+            ends.append((nodes[own_rows], parent))
+        some = links > 0
+        left, right = (np.concatenate([np.zeros(0, np.int64), *(e[i] for e in ends)]) for i in (0, 1))
+        counts = pd.DataFrame({"node": nodes[some], "links": links[some], "parent": nodes[some]})
+        return pd.concat([counts, pd.DataFrame({"node": left, "links": 0, "parent": right})[left != right]])
+
+    found = cut(dealt.groupBy("part").applyInPandas(compare, "node long, links long, parent long"))
     edges = found.select("node", F.col("parent").alias("other"))
     joined = connected_components(edges.where("node <> other"), "node", "other")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -150,22 +164,27 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, tables: int = T
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _forest(vectors: np.ndarray, nodes: np.ndarray, own: np.ndarray, codes: np.ndarray, across: bool, earlier: list[tuple[int, int]], threshold: float) -> np.ndarray:
-    """For each vector the one from which a search first reached it, or itself: a spanning forest of the group's links."""
-    left, parent = np.ones(len(nodes), bool), nodes.copy()
-    for seed in range(len(nodes)):
+def _bucket(vectors: np.ndarray, earlier: np.ndarray, nodes: np.ndarray, own: np.ndarray, times: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row of one large bucket, and the row from which a search first reached it (or itself)."""
+
+    def near(side) -> np.ndarray:
+        found = vectors[side] @ vectors.T >= threshold
+        found &= nodes[side, None] != nodes[None]
+        if across:
+            found &= own[side, None] != own[None]
+        for key in earlier.T:
+            found &= key[side, None] != key[None]
+        return found
+
+    links = np.concatenate([near(slice(a, a + 512)) @ times for a in range(0, len(nodes), 512)])
+    left, parent = links > 0, nodes.copy()
+    for seed in np.flatnonzero(left).tolist():
         front = [seed] if left[seed] else []
         left[seed] = False
         while front:
             at = front.pop()
-            near = left & (vectors @ vectors[at] >= threshold)
-            if across:
-                near &= own != own[at]
-            for begin, width in earlier:
-                mask = np.uint64((1 << width) - 1)
-                near &= ((codes >> np.uint64(begin)) & mask) != ((codes[at] >> np.uint64(begin)) & mask)
-            new = np.flatnonzero(near)
+            new = np.flatnonzero(near(slice(at, at + 1))[0] & left)
             left[new] = False
             parent[new] = nodes[at]
             front += new.tolist()
-    return parent
+    return links, parent
