@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import bpe, embed_dedup, jaccard_join, packing, pii, quality, secrets, sharding, url_filters
+from kinloom.llm import bpe, embed_dedup, jaccard_join, packing, pii, quality, secrets, sharding, substring_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_spans("f.depth = 0"), 256).alias("base_sha256"), _spans().alias("spans"), "layers", "bombs")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has, exactly or with some words changed."""
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of every document goes in sequences of 4096 tokens."""
     return packing.place(_table(spark, sf_dir, "documents"))
@@ -72,7 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_packing, op4_quality_cascade, op5_jaccard_join, op6_embedding_dedup, op7_bpe, op8_sharding, op9_pii, op10_url_filter)
+    f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_packing, op4_quality_cascade, op5_jaccard_join, op6_embedding_dedup, op7_bpe, op8_sharding, op9_pii, op10_url_filter)
 }
 
 SQL: dict[str, str] = {}
