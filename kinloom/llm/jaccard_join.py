@@ -6,13 +6,13 @@ documents, in ``2 ** COUNT_BITS`` hash buckets: a table of fixed size, which is
 fall together only change the order, never the result.
 
 Candidates meet on prefix shingles and pass a length filter, a positional filter (what may still be shared behind the
-common shingle) and a suffix filter (sets whose counts by hash class differ too much cannot overlap enough). Each
-surviving pair is verified once, on whole sets.
+common shingle) and a suffix filter (sets whose counts in 64 hash classes differ too much cannot overlap enough). Each
+surviving pair is verified once, on whole sets, which are made only for classes that have such a pair.
 
-Only components are asked for, so not every pair of a group needs a look. In each round every prefix shingle has one
-pivot, which is compared with its other classes that are not in its component yet; rounds go on until none finds a
-link. Then all candidates that still lie in different components are compared. What is left out are pairs whose ends
-are joined already, so the result is exact and large groups of copies cost in proportion to their size.
+Only components are asked for, so not every pair of a group needs a look. First every prefix shingle compares some
+pivots with its other classes; then, in rounds, a pivot with the classes that are not in its component yet, until no
+link is found. Last, all candidates that still lie in different components are compared. What is left out are pairs
+whose ends are joined already, so the result is exact and large groups of copies cost in proportion to their size.
 """
 
 from __future__ import annotations
@@ -20,21 +20,26 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinloom.llm.bpe import slices
+from kinloom.llm.members import filter_of, may_hold
 from kinloom.llm.shingles import shingle_sets, signed
 from kinloom.operators.components import connected_components
 from kinloom.plans.lineage import cut
 
-COUNT_BITS, PARTS = 20, 64
+COUNT_BITS, PARTS, PIVOTS, CLASSES = 20, 64, 3, 64
+
+#: Pairs (16 bytes each) up to which they are broadcast to the sets; more are joined by a shuffle.
+SMALL = 50_000
 
 
 def document_counts(rows: DataFrame, n: int, bits: int = COUNT_BITS) -> np.ndarray:
@@ -74,7 +79,7 @@ def prefixes(rows: DataFrame, n: int, t: Fraction, counts: np.ndarray) -> DataFr
     """``doc_id, node, n, sig, prefix``: each document's class (hash of its set; null without words) and prefix."""
     order = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
     bits = int(math.log2(len(counts)))
-    eighths = np.arange(1, 8, dtype=np.uint64) << np.uint64(61)
+    edges_ = np.arange(1, CLASSES, dtype=np.uint64) << np.uint64(58)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
@@ -84,8 +89,8 @@ def prefixes(rows: DataFrame, n: int, t: Fraction, counts: np.ndarray) -> DataFr
                 size = len(own)
                 sizes.append(size)
                 nodes.append(_class_of(own) if size else None)
-                edges = np.concatenate([[0], np.searchsorted(own, eighths), [size]])
-                sigs.append(int.from_bytes(np.minimum(np.diff(edges), 255).astype(np.uint8).tobytes(), "little", signed=True))
+                edges = np.concatenate([[0], np.searchsorted(own, edges_), [size]])
+                sigs.append(np.minimum(np.diff(edges), 255).astype(np.uint8).tobytes())
                 keep = size - math.ceil(t * size) + 1 if size else 0
                 if keep < size:
                     key = rank[(own >> np.uint64(64 - bits)).astype(np.int64)]
@@ -98,10 +103,10 @@ def prefixes(rows: DataFrame, n: int, t: Fraction, counts: np.ndarray) -> DataFr
                 firsts.append(signed(own))
             offsets = pa.array(np.append(0, np.cumsum([len(x) for x in firsts])).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), lists], ["doc_id", "node", "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), lists], ["doc_id", "node", "n", "sig", "prefix"])
 
-    longs = [T.StructField(c, T.LongType()) for c in ("node", "n", "sig")]
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *longs, T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType())]
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields, T.StructField("prefix", T.ArrayType(T.LongType()))]))
 
 
 def _class_of(own: np.ndarray) -> int:
@@ -109,30 +114,47 @@ def _class_of(own: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def whole_sets(rows: DataFrame, n: int) -> DataFrame:
-    """``node`` and its whole set (``shingles``, sorted 64-bit hashes as bytes)."""
+def whole_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """``node`` and its whole set (``shingles``, sorted 64-bit hashes as bytes) for the classes ``wanted (node, least)``.
+
+    Their documents are named to the tasks by a filter of fixed size; what it lets through besides is dropped after.
+    """
+    table = filter_of(wanted.select(F.xxhash64("least").alias("key")))
+    chosen = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(stream):
-            sets = [s for s in shingle_sets(texts, n) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+        bits = chosen.value
+        for batch in stream:
+            some = batch.filter(pa.array(may_hold(bits, batch.column(0).to_numpy())))
+            for _, texts in slices(iter([some])):
+                sets = [s for s in shingle_sets(texts, n) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    return rows.mapInArrow(run, "node long, shingles binary")
+    made = rows.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "node long, shingles binary")
+    return cut(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _enough(t: Fraction, total: Column) -> Column:
-    """The overlap that two sets of ``total`` shingles in all need: the least integer c with c * (1 + t) >= t * total."""
+def _may_link(t: Fraction) -> Column:
+    """Length and positional filters on columns ``n, pos`` of a pair's ends (``a_``, ``b_``)."""
     p, q = t.numerator, t.denominator
-    return F.ceil((total * p).cast("double") / F.lit(float(p + q)) - 1e-9)
+    length = F.least("a_n", "b_n") * q >= F.greatest("a_n", "b_n") * p
+    rest = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    return length & (rest * (p + q) >= (F.col("a_n") + F.col("b_n")) * p)
 
 
-def _may_link(t: Fraction) -> Column:
-    """Length, positional and suffix filters on columns ``n, pos, sig`` of a pair's ends (``a_``, ``b_``)."""
-    need = _enough(t, F.col("a_n") + F.col("b_n"))
-    length = (F.least("a_n", "b_n") * t.denominator >= F.greatest("a_n", "b_n") * t.numerator)
-    position = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need
-    apart = sum((F.abs(F.shiftright("a_sig", 8 * k).bitwiseAND(255) - F.shiftright("b_sig", 8 * k).bitwiseAND(255)) for k in range(8)), F.lit(0))
-    return length & position & (apart <= F.col("a_n") + F.col("b_n") - 2 * need)
+def unlike(pairs: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` that pass the suffix filter."""
+    p, q = t.numerator, t.denominator
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), CLASSES).astype(np.int16) for c in (2, 4))
+            total = batch.column(3).to_numpy() + batch.column(5).to_numpy()
+            most = total - 2 * (-(-total * p // (p + q)))
+            yield batch.select(["a", "b"]).filter(pa.array(np.abs(x - y).sum(1) <= most))
+
+    end = lambda c: info.select(F.col("node").alias(c), F.col("sig").alias(f"{c}_sig"), F.col("n").alias(f"{c}_n"))
+    return pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "a_sig", "a_n", "b_sig", "b_n").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -149,11 +171,12 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                 keep.append(q * common >= p * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    named = F.broadcast(pairs) if pairs.count() <= SMALL else pairs
+    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")).join(named, c) for c in ("a", "b"))
+    return x.join(y, ["a", "b"]).select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 8) -> DataFrame:
+def components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 4) -> DataFrame:
     """``doc_id, n_shingles, component_id, group_key``, a row for each row of ``docs``.
 
     ``component_id`` is the smallest id of the component; ``group_key`` tells components apart even where ids repeat
@@ -165,58 +188,63 @@ def components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_c
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = cut(prefixes(rows, n, t, document_counts(rows, n)))
     classes = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    postings = classes.select("node", "least", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("of")).where("of > 1").select("token")
-    live = cut(postings.join(shared, "token"))
-    candidates = live.select("least").distinct()
-    sets = cut(whole_sets(rows.join(candidates, rows["doc_id"].eqNullSafe(candidates["least"]), "left_semi"), n).join(live.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-
-    tried = links = parts = None
-    for turn in range(most_rounds):
-        placed = _placed(live, parts)
-        pivot = placed.groupBy("token").agg(F.min_by(F.struct("node", "n", "sig", "pos", "part"), F.xxhash64(F.lit(turn), "node")).alias("p"))
-        met = placed.join(pivot, "token").where("part <> p.part")
-        pairs = _pairs(met.select(*_ends("", "a_"), *_ends("p.", "b_")), t, tried)
-        tried, more, any_new = _tried(pairs, tried, sets, t)
-        if not any_new:
+    classes = cut(classes)
+    info = classes.select("node", "n", "sig")
+    postings = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    live = cut(postings.withColumn("of", F.count("*").over(Window.partitionBy("token"))).where("of > 1").drop("of"))
+
+    pairs = cut(unlike(_pairs(reduce(DataFrame.unionByName, (_with_pivot(_placed(live, None), k) for k in range(PIVOTS))), t, None), info, t))
+    sets = whole_sets(rows, n, _named(pairs, classes))
+    known = cut(sets.select("node"))
+    tried, links = pairs, cut(verified(pairs, sets, t))
+    parts = cut(connected_components(links, "a", "b"))
+    for turn in range(PIVOTS, PIVOTS + most_rounds):
+        more = unlike(_pairs(_with_pivot(_placed(live, parts), turn), t, tried), info, t)
+        more = cut(more.join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi"))
+        new = cut(verified(more, sets, t))
+        if new.isEmpty():
             break
-        links = more if links is None else links.unionByName(more)
-        parts = cut(connected_components(links, "a", "b"))
-    placed = _placed(live, parts)
-    other = placed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "sig", "pos", "part")))
-    met = placed.select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "sig", "pos", "part"))).join(other, "token").where("a_node < b_node and a_part <> b_part")
-    pairs = _pairs(met.drop("token", "a_part", "b_part"), t, tried)
-    tried, more, any_new = _tried(pairs, tried, sets, t)
-    if any_new:
-        links = more if links is None else links.unionByName(more)
+        tried, links = tried.unionByName(more), links.unionByName(new)
         parts = cut(connected_components(links, "a", "b"))
+    ends = _placed(live, parts)
+    left, right = (ends.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "pos", "part"))) for x in "ab")
+    rest = cut(unlike(_pairs(left.join(right, "token").where("a_node < b_node and a_part <> b_part"), t, tried), info, t))
+    missing = _named(rest, classes).join(known, "node", "left_anti")
+    if not missing.isEmpty():
+        sets = sets.unionByName(whole_sets(rows, n, missing))
+    new = cut(verified(rest, sets, t))
+    if not new.isEmpty():
+        parts = cut(connected_components(links.unionByName(new), "a", "b"))
 
     grouped = classes.select("node", "least")
-    grouped = grouped.withColumn("group_key", F.col("node")) if parts is None else grouped.join(parts, "node", "left").withColumn("group_key", F.coalesce("component", "node"))
+    grouped = grouped.join(parts, "node", "left").withColumn("group_key", F.coalesce("component", "node"))
     ids = grouped.groupBy("group_key").agg(F.min("least").alias("component_id"))
     per_class = grouped.join(ids, "group_key").select("node", "group_key", "component_id")
     return found.select("doc_id", "node", F.col("n").alias("n_shingles")).join(per_class, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group_key")
 
 
-def _ends(own: str, name: str) -> list[Column]:
-    return [F.col(f"{own}{c}").alias(f"{name}{c}") for c in ("node", "n", "sig", "pos")]
-
-
 def _placed(live: DataFrame, parts: DataFrame | None) -> DataFrame:
     if parts is None:
         return live.withColumn("part", F.col("node"))
     return live.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
 
 
+def _with_pivot(placed: DataFrame, turn: int) -> DataFrame:
+    """Each shingle's classes beside its pivot of this turn, where they are not in one component."""
+    pivot = placed.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "part"), F.xxhash64(F.lit(turn), "node")).alias("p"))
+    met = placed.join(pivot, "token").where("part <> p.part")
+    return met.select(*(F.col(f"{own}{c}").alias(f"{end}_{c}") for own, end in (("", "a"), ("p.", "b")) for c in ("node", "n", "pos")))
+
+
 def _pairs(met: DataFrame, t: Fraction, tried: DataFrame | None) -> DataFrame:
     pairs = met.where(_may_link(t)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _tried(pairs: DataFrame, tried: DataFrame | None, sets: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame, bool]:
-    pairs = cut(pairs)
-    links = cut(verified(pairs, sets, t))
-    return pairs if tried is None else tried.unionByName(pairs), links, not links.isEmpty()
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, least`` of the classes in ``pairs``."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return classes.select("node", "least").join(nodes, "node", "left_semi")
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
