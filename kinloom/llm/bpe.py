@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 1_500_000
+CACHE = 600_000
 
 
 def byte_alphabet() -> dict[int, str]:
