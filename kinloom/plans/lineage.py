@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the files, so that a lost executor costs no recomputation."""
+    """Write ``df`` to the checkpoint folder and go on from the files, so that a lost executor costs no recomputation.
+
+    The shuffles behind it are not needed any more. Spark deletes their files when the driver's garbage is collected,
+    which may take half an hour by itself, so it is asked to here.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
