@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ from kinloom.llm.shingles import shingle_sets, signed
 from kinloom.operators.components import connected_components
 from kinloom.plans.lineage import cut
 
-COUNT_BITS, PARTS, PIVOTS, CLASSES = 20, 64, 3, 64
+COUNT_BITS, PARTS, PIVOTS, CLASSES = 20, 64, 4, 64
 
 #: Pairs (16 bytes each) up to which they are broadcast to the sets; more are joined by a shuffle.
 SMALL = 50_000
@@ -131,7 +130,9 @@ def whole_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     made = rows.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "node long, shingles binary")
-    return cut(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    made = cut(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    chosen.unpersist()
+    return made
 
 
 def _may_link(t: Fraction) -> Column:
@@ -176,7 +177,7 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return x.join(y, ["a", "b"]).select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 4) -> DataFrame:
+def components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id, group_key``, a row for each row of ``docs``.
 
     ``component_id`` is the smallest id of the component; ``group_key`` tells components apart even where ids repeat
@@ -193,13 +194,13 @@ def components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_c
     postings = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     live = cut(postings.withColumn("of", F.count("*").over(Window.partitionBy("token"))).where("of > 1").drop("of"))
 
-    pairs = cut(unlike(_pairs(reduce(DataFrame.unionByName, (_with_pivot(_placed(live, None), k) for k in range(PIVOTS))), t, None), info, t))
+    pairs = cut(unlike(_pairs(_with_pivots(_placed(live, None), range(PIVOTS)), t, None), info, t))
     sets = whole_sets(rows, n, _named(pairs, classes))
     known = cut(sets.select("node"))
     tried, links = pairs, cut(verified(pairs, sets, t))
     parts = cut(connected_components(links, "a", "b"))
     for turn in range(PIVOTS, PIVOTS + most_rounds):
-        more = unlike(_pairs(_with_pivot(_placed(live, parts), turn), t, tried), info, t)
+        more = unlike(_pairs(_with_pivots(_placed(live, parts), [turn]), t, tried), info, t)
         more = cut(more.join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi"))
         new = cut(verified(more, sets, t))
         if new.isEmpty():
@@ -229,10 +230,10 @@ def _placed(live: DataFrame, parts: DataFrame | None) -> DataFrame:
     return live.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
 
 
-def _with_pivot(placed: DataFrame, turn: int) -> DataFrame:
-    """Each shingle's classes beside its pivot of this turn, where they are not in one component."""
-    pivot = placed.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "part"), F.xxhash64(F.lit(turn), "node")).alias("p"))
-    met = placed.join(pivot, "token").where("part <> p.part")
+def _with_pivots(placed: DataFrame, turns) -> DataFrame:
+    """Each shingle's classes beside its pivots of these turns, where they are not in one component."""
+    chosen = F.array_distinct(F.array(*(F.min_by(F.struct("node", "n", "pos", "part"), F.xxhash64(F.lit(k), "node")) for k in turns)))
+    met = placed.join(placed.groupBy("token").agg(chosen.alias("ps")), "token").withColumn("p", F.explode(F.filter("ps", lambda p: p["part"] != F.col("part"))))
     return met.select(*(F.col(f"{own}{c}").alias(f"{end}_{c}") for own, end in (("", "a"), ("p.", "b")) for c in ("node", "n", "pos")))
 
 
