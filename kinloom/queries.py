@@ -272,11 +272,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 # joins ---------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH d AS (SELECT conv_id * 1000 + turn AS id, list_distinct({TOKENS}) AS s FROM conversations WHERE role = 'user' AND len({TOKENS}) > 0) SELECT x.id AS p1, y.id AS p2, round(len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 6) AS similarity FROM d x JOIN d y ON x.id < y.id AND len(x.s) * 10 >= len(y.s) * 3 AND len(y.s) * 10 >= len(x.s) * 3 WHERE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= 0.3")
+@query(f"WITH d AS (SELECT doc_id AS id, list_distinct({TOKENS}) AS s, len(list_distinct({TOKENS})) AS n FROM documents), x AS (SELECT a.id AS p1, b.id AS p2, len(list_intersect(a.s, b.s)) AS c, a.n + b.n AS t FROM d a JOIN d b ON a.id < b.id AND a.n > 0 AND a.n * 10 >= b.n * 8 AND b.n * 10 >= a.n * 8) SELECT p1, p2, round(c / (t - c) + 1e-10, 6) AS similarity FROM x WHERE c / (t - c) >= 0.8")
 def set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns whose token sets have a Jaccard similarity of 0.3 or more."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    return rounded(simjoin.set_similarity_join(rows, X.tokens(F.col("text")), 0.3, "id"))
+    """Documents whose token sets have a Jaccard similarity of 0.8 or more."""
+    return rounded(simjoin.set_similarity_join(table(spark, sf_dir, "documents"), X.tokens(F.col("text")), 0.8, "doc_id"))
 
 
 @query("WITH d AS (SELECT p_partkey AS id, p_name AS s FROM part WHERE p_size <= 10) SELECT x.id AS p1, y.id AS p2, levenshtein(x.s, y.s)::INT AS distance FROM d x JOIN d y ON x.id < y.id AND abs(len(x.s) - len(y.s)) <= 2 WHERE levenshtein(x.s, y.s) <= 2")
