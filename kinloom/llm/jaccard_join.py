@@ -10,9 +10,12 @@ common shingle) and a suffix filter (sets whose counts in 64 hash classes differ
 surviving pair is verified once, on whole sets, which are made only for classes that have such a pair.
 
 Only components are asked for, so not every pair of a group needs a look. First every prefix shingle compares some
-pivots with its other classes; then, in rounds, a pivot with the classes that are not in its component yet, until no
-link is found. Last, all candidates that still lie in different components are compared. What is left out are pairs
-whose ends are joined already, so the result is exact and large groups of copies cost in proportion to their size.
+pivots with its other classes: in turn the class with the fewest rarer shingles before it, which in a group of near
+copies has the fewest changes, and a random one. Then, in rounds, a pivot is compared with the classes that are not in
+its component yet, until no link is found. Last, all candidates that still lie in different components are compared;
+there the join itself holds a bitmap filter (the parities of a set's counts in 128 hash classes differ in no more
+places than two sets have elements apart). Shingles of two classes are done after the first pass. What is left out are
+pairs whose ends are joined already, so the result is exact.
 """
 
 from __future__ import annotations
@@ -75,21 +78,23 @@ def document_counts(rows: DataFrame, n: int, bits: int = COUNT_BITS) -> np.ndarr
 
 
 def prefixes(rows: DataFrame, n: int, t: Fraction, counts: np.ndarray) -> DataFrame:
-    """``doc_id, node, n, sig, prefix``: each document's class (hash of its set; null without words) and prefix."""
+    """``doc_id, node, n, sig, odd_0, odd_1, prefix``: each document's class (hash of its set; null without words), parities and prefix."""
     order = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
     bits = int(math.log2(len(counts)))
-    edges_ = np.arange(1, CLASSES, dtype=np.uint64) << np.uint64(58)
+    edges_ = np.arange(1, 2 * CLASSES, dtype=np.uint64) << np.uint64(57)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
         for batch, texts in slices(stream):
-            nodes, sizes, sigs, firsts = [], [], [], []
+            nodes, sizes, sigs, odd, firsts = [], [], [], [], []
             for own in shingle_sets(texts, n):
                 size = len(own)
                 sizes.append(size)
                 nodes.append(_class_of(own) if size else None)
                 edges = np.concatenate([[0], np.searchsorted(own, edges_), [size]])
-                sigs.append(np.minimum(np.diff(edges), 255).astype(np.uint8).tobytes())
+                within = np.diff(edges)
+                sigs.append(np.minimum(within[::2] + within[1::2], 255).astype(np.uint8).tobytes())
+                odd.append(np.packbits((within & 1).astype(np.uint8)).view(np.int64))
                 keep = size - math.ceil(t * size) + 1 if size else 0
                 if keep < size:
                     key = rank[(own >> np.uint64(64 - bits)).astype(np.int64)]
@@ -102,9 +107,11 @@ def prefixes(rows: DataFrame, n: int, t: Fraction, counts: np.ndarray) -> DataFr
                 firsts.append(signed(own))
             offsets = pa.array(np.append(0, np.cumsum([len(x) for x in firsts])).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), lists], ["doc_id", "node", "n", "sig", "prefix"])
+            odds = np.concatenate([np.zeros(0, np.int64), *odd]).reshape(-1, 2)
+            made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(odds[:, 0]), pa.array(odds[:, 1]), lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "node", "n", "sig", "odd_0", "odd_1", "prefix"])
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType())]
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("odd_0", T.LongType()), T.StructField("odd_1", T.LongType())]
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields, T.StructField("prefix", T.ArrayType(T.LongType()))]))
 
 
@@ -143,6 +150,14 @@ def _may_link(t: Fraction) -> Column:
     return length & (rest * (p + q) >= (F.col("a_n") + F.col("b_n")) * p)
 
 
+def _may_match(t: Fraction) -> Column:
+    """Bitmap filter on columns ``n, odd_0, odd_1`` of a pair's ends (``a_``, ``b_``)."""
+    p, q = t.numerator, t.denominator
+    total = F.col("a_n") + F.col("b_n")
+    apart = sum((F.bit_count(F.col(f"a_odd_{k}").bitwiseXOR(F.col(f"b_odd_{k}"))) for k in (0, 1)), F.lit(0))
+    return (total - apart) * (p + q) >= total * (2 * p)
+
+
 def unlike(pairs: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
     """The pairs ``(a, b)`` that pass the suffix filter."""
     p, q = t.numerator, t.denominator
@@ -188,11 +203,13 @@ def components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_c
     t = Fraction(str(threshold))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = cut(prefixes(rows, n, t, document_counts(rows, n)))
-    classes = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    classes = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("sig", "odd_0", "odd_1", "prefix")))
     classes = cut(classes)
     info = classes.select("node", "n", "sig")
     postings = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    live = cut(postings.withColumn("of", F.count("*").over(Window.partitionBy("token"))).where("of > 1").drop("of"))
+    live = cut(postings.withColumn("of", F.count("*").over(Window.partitionBy("token"))).where("of > 1"))
+
+    several = live.where("of > 2")
 
     pairs = cut(unlike(_pairs(_with_pivots(_placed(live, None), range(PIVOTS)), t, None), info, t))
     sets = whole_sets(rows, n, _named(pairs, classes))
@@ -200,16 +217,17 @@ def components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_c
     tried, links = pairs, cut(verified(pairs, sets, t))
     parts = cut(connected_components(links, "a", "b"))
     for turn in range(PIVOTS, PIVOTS + most_rounds):
-        more = unlike(_pairs(_with_pivots(_placed(live, parts), [turn]), t, tried), info, t)
+        more = unlike(_pairs(_with_pivots(_placed(several, parts), [turn]), t, tried), info, t)
         more = cut(more.join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi"))
         new = cut(verified(more, sets, t))
         if new.isEmpty():
             break
         tried, links = tried.unionByName(more), links.unionByName(new)
         parts = cut(connected_components(links, "a", "b"))
-    ends = _placed(live, parts)
-    left, right = (ends.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "pos", "part"))) for x in "ab")
-    rest = cut(unlike(_pairs(left.join(right, "token").where("a_node < b_node and a_part <> b_part"), t, tried), info, t))
+    ends = _placed(several, parts).join(classes.select("node", "odd_0", "odd_1"), "node")
+    left, right = (ends.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "pos", "part", "odd_0", "odd_1"))) for x in "ab")
+    met = left.join(right, "token").where(F.expr("a_node < b_node and a_part <> b_part") & _may_match(t))
+    rest = cut(unlike(_pairs(met, t, tried), info, t))
     missing = _named(rest, classes).join(known, "node", "left_anti")
     if not missing.isEmpty():
         sets = sets.unionByName(whole_sets(rows, n, missing))
@@ -232,7 +250,8 @@ def _placed(live: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 def _with_pivots(placed: DataFrame, turns) -> DataFrame:
     """Each shingle's classes beside its pivots of these turns, where they are not in one component."""
-    chosen = F.array_distinct(F.array(*(F.min_by(F.struct("node", "n", "pos", "part"), F.xxhash64(F.lit(k), "node")) for k in turns)))
+    order = lambda k: F.struct(F.lit(0) if k % 2 else F.col("pos"), F.xxhash64(F.lit(k), "node"))
+    chosen = F.array_distinct(F.array(*(F.min_by(F.struct("node", "n", "pos", "part"), order(k)) for k in turns)))
     met = placed.join(placed.groupBy("token").agg(chosen.alias("ps")), "token").withColumn("p", F.explode(F.filter("ps", lambda p: p["part"] != F.col("part"))))
     return met.select(*(F.col(f"{own}{c}").alias(f"{end}_{c}") for own, end in (("", "a"), ("p.", "b")) for c in ("node", "n", "pos")))
 
