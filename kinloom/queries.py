@@ -278,10 +278,10 @@ def set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simjoin.set_similarity_join(table(spark, sf_dir, "documents"), X.tokens(F.col("text")), 0.8, "doc_id"))
 
 
-@query("WITH d AS (SELECT p_partkey AS id, p_name AS s FROM part WHERE p_size <= 10) SELECT x.id AS p1, y.id AS p2, levenshtein(x.s, y.s)::INT AS distance FROM d x JOIN d y ON x.id < y.id AND abs(len(x.s) - len(y.s)) <= 2 WHERE levenshtein(x.s, y.s) <= 2")
+@query("WITH d AS (SELECT p_partkey AS id, p_name AS s FROM part) SELECT x.id AS p1, y.id AS p2, levenshtein(x.s, y.s)::INT AS distance FROM d x JOIN d y ON x.id < y.id AND abs(len(x.s) - len(y.s)) <= 2 WHERE levenshtein(x.s, y.s) <= 2")
 def edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of small parts within two edits."""
-    return simjoin.edit_distance_join(table(spark, sf_dir, "part").where("p_size <= 10"), F.col("p_name"), 2, "p_partkey")
+    """Names of parts within two edits."""
+    return simjoin.edit_distance_join(table(spark, sf_dir, "part"), F.col("p_name"), 2, "p_partkey")
 
 
 POST = f"p AS (SELECT id, token, count(*) AS tf FROM (SELECT doc_id AS id, unnest({TOKENS}) AS token FROM documents) GROUP BY 1, 2), q AS (SELECT id, token, count(*) AS tf FROM (SELECT item_id AS id, unnest({TOKENS}) AS token FROM benchmark) GROUP BY 1, 2)"
@@ -340,13 +340,6 @@ def string_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # clustering ----------------------------------------------------------------------------------------------------------
 
-LIGHT = "s2 AS (SELECT p1, p2, p_match AS weight FROM s WHERE p_match >= 0.9 AND (p1 + p2) % 3 = 0)"
-
-
-def light_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_edges(spark, sf_dir).where("p_match >= 0.9 and (p1 + p2) % 3 = 0").select("p1", "p2", F.col("p_match").alias("weight"))
-
-
 @query(f"""WITH RECURSIVE {JS.removeprefix('WITH ')}, g AS (SELECT p1, p2 FROM w WHERE weight >= 0.5), b2 AS (SELECT p1 AS x, p2 AS y FROM g UNION SELECT p2, p1 FROM g),
 rc AS (SELECT DISTINCT x AS n, x AS r FROM b2 UNION SELECT b2.y, rc.r FROM rc JOIN b2 ON rc.n = b2.x) SELECT n AS profile_id, min(r) AS cluster_id FROM rc GROUP BY 1""")
 def connected_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
