@@ -32,6 +32,29 @@ def ngrams(text: Column, size: int = 3, padded: bool = True) -> Column:
     return F.array_distinct(F.flatten(F.transform(tokens(text), grams)))
 
 
+def extended_ngrams(text: Column, size: int = 3) -> Column:
+    """Distinct joined combinations of each token's n-grams: all of ``n``, or with up to ``n - floor(0.95 * n)`` left out.
+
+    That is one up to 20 n-grams and two up to 40. From 41 on it stays two, since the number of combinations would
+    grow exponentially with the token.
+    """
+
+    def of(token: Column) -> Column:
+        return _combined(substrings(token, size))
+
+    return F.array_distinct(F.flatten(F.transform(tokens(text), of)))
+
+
+def _combined(grams: Column) -> Column:
+    n = F.size(grams)
+    none = F.array().cast("array<string>")
+    places = F.sequence(F.lit(0), n - 1)
+    join = lambda kept: F.array_join(kept, "")
+    one = F.transform(places, lambda i: join(F.filter(grams, lambda _, k: k != i)))
+    two = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: join(F.filter(grams, lambda _, k: (k != i) & (k != j))))))
+    return F.concat(F.array(join(grams)), F.when(n > 1, one).otherwise(none), F.when(n > 20, two).otherwise(none))
+
+
 def suffixes(text: Column, least: int = 2) -> Column:
     """Distinct suffixes of at least ``least`` characters of each token, or the token itself."""
     of = lambda t: F.when(F.length(t) < least, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - least + 1), lambda i: t.substr(i, F.length(t))))

@@ -150,3 +150,40 @@ def quality(found: DataFrame, truth: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     both = counts.withColumn("recall", ratio("matches", "total")).withColumn("precision", ratio("matches", "retained"))
     return both.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), F.lit(0.0)))
+
+
+def threshold_sweep(scored: DataFrame, score: str = "p_match", label: str = "is_match", steps: int = 20) -> DataFrame:
+    """``threshold, retained, matches, recall, precision, f1`` for the thresholds 0, 1 / steps, ... 1; null scores are never retained.
+
+    Rows are counted by the number of thresholds that they reach, so only ``steps + 2`` rows are shuffled.
+    """
+    levels = [k / steps for k in range(steps + 1)]
+    reached = F.when(F.col(score).isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, levels)), lambda t: t <= F.col(score))))
+    counted = scored.groupBy(reached.alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("hit"))
+    given = scored.sparkSession.createDataFrame([(k + 1, t) for k, t in enumerate(levels)], "k int, threshold double")
+    every = given.unionByName(scored.sparkSession.createDataFrame([(0, None)], "k int, threshold double")).join(counted, "k", "left").na.fill(0, ["n", "hit"])
+    down = Window.orderBy(F.desc("k"))
+    sums = every.select("threshold", F.sum("n").over(down).alias("retained"), F.sum("hit").over(down).alias("matches"), F.sum("hit").over(Window.partitionBy()).alias("total"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("matches"), F.col("retained") + F.col("total")), F.lit(0.0))
+    return sums.where("threshold is not null").select("threshold", "retained", "matches", ratio("matches", "total").alias("recall"), ratio("matches", "retained").alias("precision"), f1.alias("f1"))
+
+
+FEATURES = ("cfibf", "raccb", "js", "numCompP1", "numCompP2", "rs", "aejs", "nrs", "wjs")
+
+
+def match_probabilities(edges: DataFrame, labelled: DataFrame, columns: tuple[str, ...] = FEATURES, label: str = "is_match") -> DataFrame:
+    """``edges`` with ``p_match`` and ``pred`` by logistic regression on ``columns``, fitted to all of ``labelled``.
+
+    Nulls count as 0. ``labelled`` needs both labels; sample it beforehand for a small training set.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    filled = lambda df: df.withColumn("_x", F.struct(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_{c}") for c in columns))).select("*", "_x.*").drop("_x")
+    model = Pipeline(stages=[VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol=label, probabilityCol="_probability", predictionCol="_prediction", rawPredictionCol="_raw", maxIter=100)])
+    scored = model.fit(filled(labelled.where(F.col(label).isNotNull()))).transform(filled(edges))
+    p = vector_to_array("_probability")[1]
+    return scored.select(*edges.columns, p.alias("p_match"), F.col("_prediction").cast("int").alias("pred"))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.functions import augment as A
 from kinloom.functions import similarity as S
 from kinloom.functions import text as X
-from kinloom.operators import blocking, clustering, graph, progressive, simjoin
+from kinloom.operators import attributes, blocking, clustering, graph, progressive, simjoin
 from kinloom.sources import loaders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +95,8 @@ def _tokenised(name: str, keys: Callable[[Column], Column], sql: str, source: st
 _tokenised("tokens", X.tokens, f"list_distinct({TOKENS})")
 _tokenised("ngrams_padded", X.ngrams, f"list_distinct(flatten(list_transform(list_distinct({TOKENS}), lambda t: list_transform(range(1, len(t) + 3), lambda i: substr('__' || t || '__', i, 3)))))", "part", "p_partkey", "p_name")
 _tokenised("ngrams_plain", lambda t: X.ngrams(t, 3, False), f"list_distinct(flatten(list_transform(list_distinct({TOKENS}), lambda t: CASE WHEN len(t) < 3 THEN [t] ELSE list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3)) END)))")
+_PLAIN = "CASE WHEN len(t) < 3 THEN [t] ELSE list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3)) END"
+_tokenised("extended_ngrams", X.extended_ngrams, f"list_distinct(flatten(list_transform(list_transform(list_distinct({TOKENS}), lambda t: {_PLAIN}), lambda g: list_append(CASE WHEN len(g) > 1 THEN list_transform(range(1, len(g) + 1), lambda i: array_to_string(list_filter(g, lambda x, k: k <> i), '')) ELSE []::VARCHAR[] END, array_to_string(g, '')))))", "part", "p_partkey", "p_name")
 _tokenised("suffixes", X.suffixes, f"list_distinct(flatten(list_transform(list_distinct({TOKENS}), lambda t: CASE WHEN len(t) < 2 THEN [t] ELSE list_transform(range(1, len(t)), lambda i: substr(t, i)) END)))")
 _tokenised("extended_suffixes", X.extended_suffixes, f"list_distinct(list_filter(flatten(list_transform(list_distinct({TOKENS}), lambda t: list_append(flatten(list_transform(range(1, greatest(len(t), 2)), lambda i: list_transform(range(2, greatest(len(t) - i + 2, 3)), lambda n: substr(t, i, n)))), t))), lambda s: s <> ''))", "part", "p_partkey", "p_name")
 _tokenised("tokens_underscore", lambda t: X.tokens(t, separator=X.WORD_OR_UNDERSCORE), f"list_distinct({TOKENS.replace('_]', ']')})", "customer", "c_custkey", "c_name")
@@ -101,6 +104,49 @@ _tokenised("word_bigrams", lambda t: X.word_shingles(t, 2, 2), f"list_transform(
 _tokenised("plain_words", X.plain_words, f"list_filter(list_distinct({TOKENS}), lambda t: regexp_matches(t, '^([A-Za-z]+|[0-9]+)$'))")
 _tokenised("edge_ngrams", X.edge_ngrams, f"flatten(list_transform({TOKENS}, lambda t: list_transform(range(3, least(6, greatest(len(t), 3)) + 1), lambda n: substr(t, 1, n))))", "part", "p_partkey", "p_name")
 
+for _name in ("del", "swap", "drop_len", "drop_sym", "drop_same", "drop_token", "ins"):
+    QUERIES[f"augment_{_name}"] = lambda spark, sf_dir, o=_name: table(spark, sf_dir, "benchmark").select("item_id", F.array_join(A.augment(X.words(F.col("text")), o), " ").alias("text"))
+
+# attributes ----------------------------------------------------------------------------------------------------------
+
+PART_COLUMNS = ["p_name", "p_brand", "p_type"]
+LONG = "l AS (SELECT p_partkey AS id, name, list_filter(regexp_split_to_array(lower(value), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM (SELECT p_partkey, p_name, p_brand, p_type FROM part) UNPIVOT (value FOR name IN (p_name, p_brand, p_type)))"
+
+
+@query(f"WITH {LONG}, t AS (SELECT name AS key, token, count(*)::DOUBLE AS n FROM (SELECT name, unnest(w) AS token FROM l) GROUP BY 1, 2) SELECT 0 AS source_id, key, round(log2(sum(n)) - sum(n * log2(n)) / sum(n) + 1e-10, 6) AS entropy FROM t GROUP BY 2")
+def attribute_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shannon entropy of the tokens of three columns of parts."""
+    bags = loaders.as_profiles(table(spark, sf_dir, "part"), "p_partkey", keep=tuple(PART_COLUMNS))
+    return rounded(attributes.attribute_entropy(attributes.attribute_tokens(bags)))
+
+
+@query(f"""WITH {LONG}, s AS (SELECT name, count(*)::DOUBLE AS n, sum(len(w)) / count(*) AS avgdl FROM l WHERE len(w) > 0 GROUP BY 1), r AS (SELECT count(*)::DOUBLE AS n_all FROM part),
+f AS (SELECT name, id, len(w)::DOUBLE AS dl, token, count(*)::DOUBLE AS tf FROM (SELECT *, unnest(w) AS token FROM l) GROUP BY ALL), d AS (SELECT name, token, count(*)::DOUBLE AS df FROM f GROUP BY 1, 2)
+SELECT name, round(1 - any_value(n) / any_value(n_all) + 1e-10, 6) AS null_rate, round(any_value(avgdl) + 1e-10, 6) AS mean_words, round(sum(ln((n + 0.5 - df) / (df + 0.5) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) / dl) / any_value(n) + 1e-10, 6) AS mean_score FROM f JOIN d USING (name, token) JOIN s USING (name), r GROUP BY 1""")
+def column_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null rate, mean words and mean BM25 of three columns' values against themselves."""
+    return rounded(attributes.column_scores(table(spark, sf_dir, "part"), PART_COLUMNS, "p_partkey"))
+
+
+def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people, shops = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return loaders.as_profiles(people, "c_custkey", 0).unionByName(loaders.as_profiles(shops, "s_suppkey", 1))
+
+
+@query()
+def attribute_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of customers and suppliers with alike tokens, and their mean entropy."""
+    return rounded(attributes.cluster_attributes(_bags(spark, sf_dir), threshold=0.1))
+
+
+@query()
+def clustered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of token blocks kept apart by attribute cluster."""
+    bags = _bags(spark, sf_dir)
+    rows = blocking.cluster_blocks(bags, attributes.cluster_attributes(bags, threshold=0.1), X.words)
+    return blocking.block_stats(rows.select("block_key", "profile_id", "source_id").distinct(), clean=True)
+
+
 # blocking and cleaning -----------------------------------------------------------------------------------------------
 
 
@@ -269,6 +315,24 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.quality(graph.supervised(edges, "bcl"), edges.where("is_match = 1")))
 
 
+@query(f"""WITH {SCORED}, t AS (SELECT unnest(range(0, 21)) / 20::DOUBLE AS threshold), g AS (SELECT count(*) FILTER (WHERE is_match = 1) AS total FROM s),
+c AS (SELECT threshold, count(p_match) AS retained, count(*) FILTER (WHERE is_match = 1 AND p_match IS NOT NULL) AS matches FROM t LEFT JOIN s ON p_match >= threshold GROUP BY 1)
+SELECT round(threshold + 1e-10, 6) AS threshold, retained, matches, round(coalesce(matches / nullif(total, 0), 0) + 1e-10, 6) AS recall, round(coalesce(matches / nullif(retained, 0), 0) + 1e-10, 6) AS precision, round(coalesce(2 * matches / nullif(retained + total, 0), 0) + 1e-10, 6) AS f1 FROM c, g""")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, precision and F1 of scored edges at 21 thresholds."""
+    return rounded(graph.threshold_sweep(scored_edges(spark, sf_dir)))
+
+
+@query()
+def match_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities by logistic regression on all edges' features; true are edges whose token sets are alike."""
+    own = members(spark, sf_dir)
+    edges = graph.pairs(own)
+    truth = graph.weighted(edges, own, "js").where("weight >= 0.5")
+    marked = graph.features(edges, own, truth)
+    return graph.match_probabilities(marked, marked)
+
+
 # joins ---------------------------------------------------------------------------------------------------------------
 
 
@@ -347,7 +411,7 @@ def connected_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.component_clusters(js_edges(spark, sf_dir), 0.5)
 
 
-for _name in ("center", "merge_center", "unique_mapping", "markov"):
+for _name in ("center", "merge_center", "unique_mapping", "markov", "ricochet", "cut"):
     QUERIES[f"{_name}_clusters"] = lambda spark, sf_dir, f=getattr(clustering, f"{_name}_clusters"): f(js_edges(spark, sf_dir), 0.3)
 
 # progressive ---------------------------------------------------------------------------------------------------------

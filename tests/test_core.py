@@ -5,14 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from kinloom.functions import augment as A
 from kinloom.functions import similarity as S
 from kinloom.functions import text as X
-from kinloom.operators import blocking, clustering, graph, progressive, simjoin
+from kinloom.operators import attributes, blocking, clustering, graph, progressive, simjoin
 from kinloom.operators.components import connected_components
 from kinloom.sources import loaders
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["token_blocks", "purge_level", "cleaned_blocks", "pairs_cbs", "edge_features", "supervised_rcnp", "similarity_functions", "edit_join"]
+FAST = ["token_blocks", "purge_level", "cleaned_blocks", "pairs_cbs", "edge_features", "supervised_rcnp", "similarity_functions", "edit_join", "extended_ngrams", "attribute_entropy", "column_scores", "threshold_sweep"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -93,7 +94,7 @@ def test_alignment_and_loaders(spark):
 
 def test_clusterings_partition_the_nodes(spark):
     edges = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.8), (2, 3, 0.7), (10, 11, 0.9), (10, 12, 0.9), (10, 13, 0.6)], "p1 long, p2 long, weight double")
-    for f in (clustering.center_clusters, clustering.merge_center_clusters, clustering.markov_clusters):
+    for f in (clustering.center_clusters, clustering.merge_center_clusters, clustering.markov_clusters, clustering.ricochet_clusters, clustering.cut_clusters):
         assert sorted(r.profile_id for r in f(edges, 0.1).collect()) == [0, 1, 2, 3, 10, 11, 12, 13]
     assert sorted(r.profile_id for r in clustering.unique_mapping_clusters(edges, 0.1).collect()) == [0, 1, 2, 3, 10, 11]
 
@@ -101,3 +102,81 @@ def test_clusterings_partition_the_nodes(spark):
 def test_auc(spark):
     ranked = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "position long, hit int")
     assert {r.level: round(r.auc, 6) for r in progressive.recall_auc(ranked, 2, (1, 2)).collect()} == {1: round(2 / 2 / 3, 6), 2: round((4 + 2) / 2 / 5, 6)}
+
+
+def test_extended_ngrams_against_combinations(spark):
+    texts = ["a", "abc", "abcdefg", "qwertyuiopasdfghjklzxcv", "abcabcabcabcabcabcabcabcabc", "", None, "ab abcd"]
+
+    def want(text):
+        out = set()
+        for t in set((text or "").split()):
+            grams = [t[i : i + 3] for i in range(len(t) - 2)] or [t]
+            least = len(grams) * 95 // 100
+            out |= {"".join(c) for k in range(max(1, least), len(grams) + 1) for c in combinations(grams, k)}
+        return out
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", X.extended_ngrams(F.col("t")).alias("g"))
+    assert {r.id: set(r.g) for r in rows.collect()} == {i: want(t) for i, t in enumerate(texts)}
+
+
+def bags(spark):
+    names = [f"name{i}" for i in range(40)]
+    left = [(i, 0, [("title", n), ("year", str(1990 + i % 5))]) for i, n in enumerate(names)]
+    right = [(100 + i, 1, [("name", n), ("when", str(1990 + i % 5)), ("title", f"other{i}")]) for i, n in enumerate(names)]
+    return spark.createDataFrame(left + right, f"profile_id long, source_id int, attributes {loaders.ATTRIBUTES}")
+
+
+def test_attributes_cluster_across_sources(spark):
+    found = attributes.cluster_attributes(bags(spark)).collect()
+    by = {(r.source_id, r.key): r.cluster_id for r in found}
+    assert by[0, "title"] == by[1, "name"] >= 0 and by[0, "year"] == by[1, "when"] >= 0 and by[0, "title"] != by[0, "year"] and by[1, "title"] == -1
+    entropy = {(r.source_id, r.key): r.entropy for r in found}
+    assert abs(entropy[0, "year"] - 2.321928) < 1e-6 and abs(entropy[1, "title"] - 5.321928) < 1e-6
+    blocks = blocking.cluster_blocks(bags(spark), attributes.cluster_attributes(bags(spark)), X.words)
+    assert {r.block_key for r in blocks.where("block_key like 'other3\\_%'").collect()} == {"other3_-1"}
+    assert {r.profile_id for r in blocks.where(F.col("block_key") == f"name3_{by[0, 'title']}").collect()} == {3, 103}
+    assert attributes.cluster_attributes(bags(spark).limit(0)).count() == 0
+
+
+def test_columns_are_selected(spark):
+    rows = spark.createDataFrame([(i, f"rare{i}", "same", None if i else "x") for i in range(10)], "id long, a string, b string, c string")
+    assert [r.name for r in attributes.select_columns(rows, ["a", "b", "c"], "id", 1).collect()] == ["a"]
+    assert {r.name: round(r.null_rate, 6) for r in attributes.column_scores(rows, ["a", "b", "c"], "id").collect()} == {"a": 0.0, "b": 0.0, "c": 0.9}
+
+
+def test_sweep_and_classifier(spark):
+    rows = [(i, i + 100, i / 20, int(i > 9)) for i in range(20)] + [(90, 91, None, 1)]
+    scored = spark.createDataFrame(rows, "p1 long, p2 long, p_match double, is_match int")
+    for r in graph.threshold_sweep(scored).collect():
+        kept = [x for x in rows if x[2] is not None and x[2] >= r.threshold]
+        assert (r.retained, r.matches) == (len(kept), sum(x[3] for x in kept)) and r.recall == r.matches / 11
+    assert graph.threshold_sweep(scored.limit(0)).agg(F.sum("retained")).first()[0] == 0
+    edges = scored.withColumnRenamed("p_match", "js").where("js is not null")
+    assert all(r.pred == r.is_match and (r.p_match >= 0.5) == bool(r.pred) for r in graph.match_probabilities(edges, edges, ("js",)).collect())
+
+
+def test_cut_and_ricochet_part_two_cliques(spark):
+    cliques = [(a + k, b + k, 1.0) for k in (0, 10) for a, b in combinations(range(4), 2)]
+    edges = spark.createDataFrame([*cliques, (3, 10, 0.2)], "p1 long, p2 long, weight double")
+    for f in (clustering.cut_clusters, clustering.ricochet_clusters):
+        groups = {}
+        for r in f(edges, 0.1).collect():
+            groups.setdefault(r.cluster_id, set()).add(r.profile_id)
+        assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3], [10, 11, 12, 13]]
+
+
+def test_augmentation(spark):
+    texts = ["a bb ccc dd e f", "x", "", None, "- a - b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", F.when(F.col("t").isNotNull(), F.filter(F.split("t", " "), lambda x: x != "")).alias("w"))
+    of = lambda op, seed=7: {r.id: r.o for r in rows.select("id", A.augment(F.col("w"), op, seed).alias("o")).collect()}
+    before = {r.id: r.w for r in rows.collect()}
+    for seed in range(5):
+        assert len(of("del", seed)[0]) in (4, 5) and len(of("ins", seed)[0]) == 7 and of("drop_same", seed)[1] == []
+        assert {i: sorted(w or []) for i, w in of("swap", seed).items()} == {i: sorted(w or []) for i, w in before.items()}
+        lengths = {len(x) for x in of("drop_len", seed)[0]}
+        assert len({1, 2, 3} - lengths) == 1
+    assert of("drop_sym")[4] == ["a", "b"] and set(of("drop_token")[0]) <= set(before[0])
+    assert all(of(o)[2] == [] and of(o)[3] is None for o in ("del", "swap", "drop_len", "drop_sym", "drop_same", "drop_token", "ins"))
+    bag = bags(spark).where("profile_id = 100").select(A.augment_attributes(F.col("attributes"), "drop_col").alias("d"), A.augment_attributes(F.col("attributes"), "append_col").alias("p")).first()
+    words = sorted(w for a in bag.p for w in a.value.split())
+    assert len(bag.d) == len(bag.p) == 2 and words == ["1990", "name0", "other0"]
