@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 def pairs(membership: DataFrame, clean: bool = False) -> DataFrame:
     """``p1 < p2`` with ``cbs`` (common blocks), ``raccb`` and ``rs`` (sums of 1 / comparisons and 1 / size).
 
-    Purge first: the rows joined are the comparisons of the blocks.
+    With an ``entropy`` in ``membership`` also its sum over the common blocks. Purge first: the rows joined are the
+    comparisons of the blocks.
     """
-    a, b = (membership.select("block_key", "size", "comparisons", F.col("profile_id").alias(p), F.col("source_id").alias(f"s_{p}")) for p in ("p1", "p2"))
-    met = a.join(b.drop("size", "comparisons"), "block_key").where("p1 < p2" + (" and s_p1 <> s_p2" if clean else ""))
-    return met.groupBy("p1", "p2").agg(F.count("*").alias("cbs"), F.sum(1 / F.col("comparisons")).alias("raccb"), F.sum(1 / F.col("size")).alias("rs"))
+    kept = [c for c in ("size", "comparisons", "entropy") if c in membership.columns]
+    a, b = (membership.select("block_key", *kept, F.col("profile_id").alias(p), F.col("source_id").alias(f"s_{p}")) for p in ("p1", "p2"))
+    met = a.join(b.drop(*kept), "block_key").where("p1 < p2" + (" and s_p1 <> s_p2" if clean else ""))
+    return met.groupBy("p1", "p2").agg(F.count("*").alias("cbs"), F.sum(1 / F.col("comparisons")).alias("raccb"), F.sum(1 / F.col("size")).alias("rs"), *(F.sum(c).alias(c) for c in kept[2:]))
 
 
 def node_stats(membership: DataFrame) -> DataFrame:
@@ -33,8 +35,8 @@ def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def weighted(edges: DataFrame, membership: DataFrame, scheme: str) -> DataFrame:
-    """``p1, p2, weight`` by cbs, js, ecbs, ejs, arcs or chi2."""
+def weighted(edges: DataFrame, membership: DataFrame, scheme: str, use_entropy: bool = False) -> DataFrame:
+    """``p1, p2, weight`` by cbs, js, ecbs, ejs, arcs or chi2, times the edge's ``entropy`` if asked."""
     total = membership.agg(F.countDistinct("block_key").cast("double").alias("b_all"))
     joined = with_ends(edges, node_stats(membership).select("profile_id", "blocks")).crossJoin(F.broadcast(total))
     c, i, j, b = (F.col(x).cast("double") for x in ("cbs", "blocks_1", "blocks_2", "b_all"))
@@ -47,7 +49,7 @@ def weighted(edges: DataFrame, membership: DataFrame, scheme: str) -> DataFrame:
         weight = sum((F.coalesce(F.try_divide((o - r * k / b) * (o - r * k / b), r * k / b), F.lit(0.0)) for o, r, k in seen), F.lit(0.0))
     else:
         weight = {"cbs": c, "js": js, "ecbs": c * F.log10(b / i) * F.log10(b / j), "arcs": F.col("raccb")}[scheme]
-    return joined.select("p1", "p2", weight.alias("weight"))
+    return joined.select("p1", "p2", (weight * F.col("entropy") if use_entropy else weight).alias("weight"))
 
 
 def features(edges: DataFrame, membership: DataFrame, truth: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import augment as A
 from kinloom.functions import similarity as S
 from kinloom.functions import text as X
-from kinloom.operators import attributes, blocking, clustering, graph, progressive, simjoin
+from kinloom.operators import attributes, blocking, clustering, evaluation, graph, progressive, simjoin
 from kinloom.sources import loaders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,6 +333,63 @@ def match_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.match_probabilities(marked, marked)
 
 
+ALIKE = f"{JS}, tr AS (SELECT p1, p2 FROM w WHERE weight >= 0.5), fd AS (SELECT p1, p2 FROM w WHERE weight >= 0.3)"
+
+
+@query(f"""{ALIKE}, x AS (SELECT (SELECT count(*) FROM fd JOIN tr USING (p1, p2)) AS h, (SELECT count(*) FROM fd) AS kp, (SELECT count(*) FROM tr) AS al, (SELECT count(*) * (count(*) - 1) / 2 FROM documents) AS ps),
+y AS (SELECT 1 - coalesce(kp / nullif(ps, 0), 0) AS a, coalesce(h / nullif(al, 0), 0) AS b, coalesce(h / nullif(kp, 0), 0) AS c FROM x)
+SELECT round(a + 1e-10, 6) AS reduction, round(b + 1e-10, 6) AS completeness, round(c + 1e-10, 6) AS quality, round(coalesce(2 * b * c / nullif(b + c, 0), 0) + 1e-10, 6) AS f1, round(coalesce(2 * a * b / nullif(a + b, 0), 0) + 1e-10, 6) AS rm FROM y""")
+def blocking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of weight 0.3 or more, against those of 0.5 or more as true."""
+    edges = js_edges(spark, sf_dir)
+    return rounded(evaluation.blocking_quality(edges.where("weight >= 0.3"), edges.where("weight >= 0.5"), profiles(spark, sf_dir)))
+
+
+@query(f"{CORE}, dd AS (SELECT text, min(doc_id) AS a FROM documents WHERE text IS NOT NULL GROUP BY 1), tr AS (SELECT a AS p1, doc_id AS p2 FROM documents JOIN dd USING (text) WHERE doc_id > a) SELECT coalesce(cbs, 0) AS CBS, count(*) AS cnt FROM tr LEFT JOIN e USING (p1, p2) GROUP BY 1")
+def cbs_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common blocks of each copy and the first document of its text."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"))
+    first = docs.groupBy("h", "s").agg(F.min("doc_id").alias("p1"))
+    return evaluation.cbs_histogram(graph.pairs(members(spark, sf_dir)), docs.join(first, ["h", "s"]).where("doc_id > p1").select("p1", F.col("doc_id").alias("p2")))
+
+
+@query(f"WITH {SCORED}, t AS (SELECT p_match, 0.35::DOUBLE * (max(p_match) OVER (PARTITION BY p1) + max(p_match) OVER (PARTITION BY p2)) AS t FROM v) SELECT round(min(t) + 1e-10, 6) AS low, round(max(t) + 1e-10, 6) AS high, round(avg(t) + 1e-10, 6) AS mean, count(*) FILTER (WHERE p_match >= t) AS retained FROM t")
+def blast_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least, largest and mean threshold of scored edges."""
+    return rounded(evaluation.blast_thresholds(scored_edges(spark, sf_dir)))
+
+
+@query("SELECT text IS NULL AS text_null, lang IS NULL AS lang_null, source IS NULL AS source_null, count(*) AS n FROM documents GROUP BY ALL")
+def null_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by which columns are null."""
+    return evaluation.null_patterns(table(spark, sf_dir, "documents"), ["text", "lang", "source"])
+
+
+@query(f"{CORE}, d AS (SELECT doc_id AS id, list_distinct({TOKENS}) AS s FROM documents), x AS (SELECT p1, p2, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS t FROM e JOIN d a ON a.id = p1 JOIN d b ON b.id = p2) SELECT p1, p2, round(c / (t - c) + 1e-10, 6) AS weight FROM x WHERE c / (t - c) >= 0.5")
+def entity_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cleaned blocks whose whole token sets have a Jaccard similarity of 0.5 or more."""
+    return rounded(evaluation.matched(graph.pairs(members(spark, sf_dir)), profiles(spark, sf_dir), X.tokens(F.col("text")), 0.5))
+
+
+@query(f"{CORE}, {NODES}, be AS (SELECT block_key, log2(size) AS entropy FROM f GROUP BY block_key, size), ee AS (SELECT x.profile_id AS p1, y.profile_id AS p2, sum(be.entropy) AS entropy FROM f x JOIN f y ON x.block_key = y.block_key AND x.profile_id < y.profile_id JOIN be ON be.block_key = x.block_key GROUP BY 1, 2) SELECT p1, p2, round(c / (bi + bj - c) * entropy + 1e-10, 6) AS weight FROM j JOIN ee USING (p1, p2)")
+def weights_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard weights times the summed entropy of the common blocks (log2 of their sizes)."""
+    own = members(spark, sf_dir).withColumn("entropy", F.log2(F.col("size").cast("double")))
+    return rounded(graph.weighted(graph.pairs(own), own, "js", use_entropy=True))
+
+
+@query(f"WITH d AS (SELECT p_partkey AS id, p_name AS s, list_sort(list_distinct({TOKENS.replace('text', 'p_type')})) AS w FROM part) SELECT a.id AS p1, b.id AS p2 FROM d a JOIN d b ON a.id < b.id AND a.w = b.w AND len(a.w) > 0 WHERE levenshtein(a.s, b.s) <= 2")
+def multi_attribute_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one type (word sets of Jaccard 1) whose names are within two edits."""
+    return simjoin.multi_attribute_join(table(spark, sf_dir, "part"), "p_partkey", {"p_type": 1.0}, {"p_name": 2})
+
+
+@query()
+def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored edges with 50 training edges of each label."""
+    return evaluation.balanced_split(scored_edges(spark, sf_dir), 100)
+
+
 # joins ---------------------------------------------------------------------------------------------------------------
 
 
@@ -411,6 +468,16 @@ def connected_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.component_clusters(js_edges(spark, sf_dir), 0.5)
 
 
+@query(f"""WITH RECURSIVE {JS.removeprefix('WITH ')}, g AS (SELECT p1, p2 FROM w WHERE weight >= 0.5), b2 AS (SELECT p1 AS x, p2 AS y FROM g UNION SELECT p2, p1 FROM g),
+rc AS (SELECT DISTINCT x AS n, x AS r FROM b2 UNION SELECT b2.y, rc.r FROM rc JOIN b2 ON rc.n = b2.x), cl AS (SELECT n, min(r) AS c FROM rc GROUP BY 1), tr AS (SELECT p1, p2 FROM w WHERE weight >= 0.4),
+x AS (SELECT (SELECT count(*) FROM tr JOIN cl a ON a.n = p1 JOIN cl b ON b.n = p2 WHERE a.c = b.c) AS matches, (SELECT coalesce(sum(n * (n - 1) // 2), 0)::BIGINT FROM (SELECT count(*) AS n FROM cl GROUP BY c)) AS pairs, (SELECT count(*) FROM tr) AS total)
+SELECT *, round(coalesce(matches / nullif(total, 0), 0) + 1e-10, 6) AS completeness, round(coalesce(matches / nullif(pairs, 0), 0) + 1e-10, 6) AS quality FROM x""")
+def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of weight 0.5 or more against pairs of 0.4 or more."""
+    edges = js_edges(spark, sf_dir)
+    return rounded(evaluation.cluster_quality(clustering.component_clusters(edges, 0.5), edges.where("weight >= 0.4")))
+
+
 for _name in ("center", "merge_center", "unique_mapping", "markov", "ricochet", "cut"):
     QUERIES[f"{_name}_clusters"] = lambda spark, sf_dir, f=getattr(clustering, f"{_name}_clusters"): f(js_edges(spark, sf_dir), 0.3)
 

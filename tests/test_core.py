@@ -8,12 +8,12 @@ import __spark_entry__
 from kinloom.functions import augment as A
 from kinloom.functions import similarity as S
 from kinloom.functions import text as X
-from kinloom.operators import attributes, blocking, clustering, graph, progressive, simjoin
+from kinloom.operators import attributes, blocking, clustering, evaluation, graph, progressive, simjoin
 from kinloom.operators.components import connected_components
 from kinloom.sources import loaders
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["token_blocks", "purge_level", "cleaned_blocks", "pairs_cbs", "edge_features", "supervised_rcnp", "similarity_functions", "edit_join", "extended_ngrams", "attribute_entropy", "column_scores", "threshold_sweep"]
+FAST = ["token_blocks", "purge_level", "cleaned_blocks", "pairs_cbs", "edge_features", "supervised_rcnp", "similarity_functions", "edit_join", "extended_ngrams", "attribute_entropy", "column_scores", "threshold_sweep", "blast_thresholds", "null_patterns", "weights_entropy", "multi_attribute_join"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -180,3 +180,32 @@ def test_augmentation(spark):
     bag = bags(spark).where("profile_id = 100").select(A.augment_attributes(F.col("attributes"), "drop_col").alias("d"), A.augment_attributes(F.col("attributes"), "append_col").alias("p")).first()
     words = sorted(w for a in bag.p for w in a.value.split())
     assert len(bag.d) == len(bag.p) == 2 and words == ["1990", "name0", "other0"]
+
+
+def test_feature_sets():
+    sets = dict(evaluation.feature_sets())
+    assert len(sets) == 255 and sets[1] == ("cfibf",) and len(sets[255]) == 9
+    assert sets[78] == ("cfibf", "raccb", "rs", "nrs") and sets[128] == ("cfibf", "raccb", "js", "numCompP1", "numCompP2")
+
+
+def test_measures(spark):
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "p1 long, p2 long, cbs long")
+    found, truth = pairs((0, 1, 3), (0, 1, 3), (2, 3, 1), (0, 3, 1)), pairs((0, 1, 0), (2, 4, 0))
+    people = spark.createDataFrame([(i, i % 2) for i in range(5)], "profile_id long, source_id int")
+    one = evaluation.blocking_quality(found, truth, people).first()
+    assert [round(x, 6) for x in one] == [0.7, 0.5, 0.333333, 0.4, 0.583333]
+    assert round(evaluation.blocking_quality(found, truth, people, clean=True).first().reduction, 6) == 0.5
+    assert list(evaluation.blocking_quality(found.limit(0), truth.limit(0), people.limit(0)).first()) == [1.0, 0.0, 0.0, 0.0, 0.0]
+    assert {r.CBS: r.cnt for r in evaluation.cbs_histogram(found.distinct(), truth).collect()} == {3: 1, 0: 1}
+    clusters = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)], "profile_id long, cluster_id long")
+    assert list(evaluation.cluster_quality(clusters, truth).first()) == [2, 4, 2, 1.0, 0.5]
+    assert list(evaluation.cluster_quality(clusters.limit(0), truth).first()) == [0, 0, 2, 0.0, 0.0]
+
+
+def test_matched_and_split(spark):
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (4, 5)], "p1 long, p2 long")
+    assert [(r.p1, r.p2, r.weight) for r in evaluation.matched(pairs, tiny(spark), X.tokens(F.col("text")), 0.5).collect()] == [(0, 1, 0.5)]
+    edges = spark.createDataFrame([(i, i + 1, int(i % 4 == 0)) for i in range(40)], "p1 long, p2 long, is_match int")
+    split = evaluation.balanced_split(edges, 12)
+    assert split.count() == 40 and {(r.is_match, r["count"]) for r in split.where("train").groupBy("is_match").count().collect()} == {(0, 6), (1, 6)}
+    assert sorted(split.where("train").collect()) == sorted(evaluation.balanced_split(edges.repartition(3), 12).where("train").collect())
