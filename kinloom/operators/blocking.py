@@ -106,13 +106,16 @@ def clean_blocks(profiles: DataFrame, keys: Column, smooth: float = 1.0, ratio:
     return kept.join(block_stats(kept, clean), "block_key")
 
 
-def cluster_blocks(profiles: DataFrame, clusters: DataFrame, words: Callable[[Column], Column], default_entropy: float = 1.0) -> DataFrame:
+def cluster_blocks(profiles: DataFrame, clusters: DataFrame, words: Callable[[Column], Column], default_entropy: float = 1.0, drop_default: bool = False) -> DataFrame:
     """Token blocks by attribute cluster: key ``token_cluster`` and its entropy; attributes without one go to -1.
 
+    With ``drop_default`` cluster -1 makes no blocks.
+
     ``clusters (key, cluster_id, entropy)``, with a ``source_id`` where sources differ, is joined as it is; AQE
     broadcasts it where it is small.
     """
     bag = profiles.select("profile_id", "source_id", F.explode("attributes").alias("a")).select("profile_id", "source_id", "a.key", F.explode(words(F.col("a.value"))).alias("token"))
     placed = bag.join(clusters, [c for c in ("source_id", "key") if c in clusters.columns], "left")
+    placed = placed.where("cluster_id >= 0") if drop_default else placed
     key = F.concat_ws("_", "token", F.coalesce("cluster_id", F.lit(-1)).cast("string"))
     return placed.select(key.alias("block_key"), "profile_id", "source_id", F.coalesce("entropy", F.lit(default_entropy)).alias("entropy")).distinct()

@@ -135,6 +135,8 @@ def test_attributes_cluster_across_sources(spark):
     blocks = blocking.cluster_blocks(bags(spark), attributes.cluster_attributes(bags(spark)), X.words)
     assert {r.block_key for r in blocks.where("block_key like 'other3\\_%'").collect()} == {"other3_-1"}
     assert {r.profile_id for r in blocks.where(F.col("block_key") == f"name3_{by[0, 'title']}").collect()} == {3, 103}
+    kept = blocking.cluster_blocks(bags(spark), attributes.cluster_attributes(bags(spark)), X.words, drop_default=True)
+    assert kept.count() == blocks.where("block_key not like '%\\_-1'").count() < blocks.count()
     assert attributes.cluster_attributes(bags(spark).limit(0)).count() == 0
 
 
