@@ -205,6 +205,20 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_two_passages_of_the_same_two_documents(spark):
+    r = random.Random(7)
+    fresh = lambda n: words(r, n, 10**6)
+    texts, want = [], {}
+    for k, (a, gap, b) in enumerate([(60, 40, 60), (60, 100, 60), (100, 100, 100), (200, 150, 200), (60, 200, 60), (300, 40, 300)]):
+        one, two = fresh(a), fresh(b)
+        texts += [" ".join([one, fresh(gap), two]), " ".join([one, fresh(gap), two])]
+        want[2 * k + 1] = [(0, a), (a + gap, a + gap + b)]
+    got = defaultdict(list)
+    for x in substring_dedup.repeated_passages(documents(spark, texts)).collect():
+        got[x.doc_id].append((x.start, x.end))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(6)
