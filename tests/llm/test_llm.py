@@ -219,6 +219,18 @@ def test_two_passages_of_the_same_two_documents(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_recall_of_passages_with_changed_words(spark):
+    r = random.Random(8)
+    for every, least in ((12, 0.99), (10, 0.99), (8, 0.95)):
+        firsts = [words(r, 100, 10**6).split() for _ in range(60)]
+        copies = [[f"e{r.randrange(10**6)}" if i % every == k % every else w for i, w in enumerate(own)] for k, own in enumerate(firsts)]
+        docs = documents(spark, [" ".join(own) for own in firsts + copies])
+        found = Counter()
+        for x in substring_dedup.repeated_passages(docs).collect():
+            found[x.doc_id] += x.n_words * (x.sources == [x.doc_id - 60])
+        assert sum(found[60 + k] >= 80 for k in range(60)) >= least * 60, every
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(6)
