@@ -25,6 +25,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     done = df.checkpoint(eager=True)
+    del df  # else it holds its shuffles
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    done.sparkSession.sparkContext._jvm.System.gc()
     return done

@@ -231,6 +231,16 @@ def test_recall_of_passages_with_changed_words(spark):
         assert sum(found[60 + k] >= 80 for k in range(60)) >= least * 60, every
 
 
+def test_passages_with_parts_that_others_hold_first(spark):
+    r = random.Random(9)
+    fresh = lambda n: words(r, n, 10**6)
+    f1, m, f2, longer = fresh(100), fresh(80), fresh(100), [fresh(12) for _ in range(10)]
+    one = [" ".join([f1, fresh(80), f2]), " ".join([f1, m, f2]), " ".join([f1, m, f2])]
+    texts = one + [fresh(20) + " " + part + " " + fresh(20) for part in longer] + [" ".join(longer), fresh(30) + " " + " ".join(longer)]
+    got = {x.doc_id: (x.start, x.end) for x in substring_dedup.repeated_passages(documents(spark, texts)).where("doc_id > 1").collect()}
+    assert got[2] == (0, 280) and set(got) == {2, 14} and got[14] == (30, 150)
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(6)
