@@ -1,8 +1,9 @@
 """Secret scans over nested encodings: a worklist of layers, decoded to a fixpoint.
 
 The text itself is the first layer. Each layer is scanned, then every decoder that applies adds new layers: percent
-escapes, Unicode escapes, base64 runs, and what base64 wraps in gzip, zlib, bzip2, xz or zstandard. A layer seen
-before in the same document is not taken again, which ends cycles. Every layer maps its characters to spans of the
+escapes, Unicode escapes, base64 runs, and what base64 wraps in gzip, zlib, bzip2, xz or zstandard. A layer whose
+text is that of a layer it comes from is not taken again, nor is the same text over the same place, which ends cycles;
+copies of an encoded text in other places are layers of their own. Every layer maps its characters to spans of the
 original text, so that a find in any depth has a place there.
 """
 
@@ -62,10 +63,20 @@ def _longest(text: str) -> int:
 class Layer:
     """A text and, for each of its characters, the span of the original that it stands for (None: itself)."""
 
-    __slots__ = ("depth", "ends", "starts", "text")
+    __slots__ = ("depth", "ends", "parent", "starts", "text")
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, depth: int = 0) -> None:
-        self.text, self.starts, self.ends, self.depth = text, starts, ends, depth
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, depth: int = 0, parent: Layer | None = None) -> None:
+        self.text, self.starts, self.ends, self.depth, self.parent = text, starts, ends, depth, parent
+
+    def place(self) -> tuple[str, bytes, bytes]:
+        """The text and where its characters stand."""
+        return self.text, self.starts.tobytes(), self.ends.tobytes()
+
+    def cyclic(self) -> bool:
+        above = self.parent
+        while above is not None and above.text != self.text:
+            above = above.parent
+        return above is not None
 
     def original(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.starts is None else (int(self.starts[start]), int(self.ends[end - 1]))
@@ -74,7 +85,7 @@ class Layer:
         """A layer whose characters stand for spans ``[starts, ends)`` of this one."""
         if self.starts is not None:
             starts, ends = self.starts[starts], self.ends[ends - 1]
-        return Layer(text, starts, ends, self.depth + 1)
+        return Layer(text, starts, ends, self.depth + 1, self)
 
 
 def _replaced(layer: Layer, parts: list[tuple[int, int, str]]) -> Layer:
@@ -195,7 +206,8 @@ def _base64(layer: Layer, room: list[int]) -> list[Layer]:
 
 def scan(text: str) -> tuple[list[tuple[str, int, int, int]], int, int]:
     """Finds as ``(kind, start, end, depth)``, depth 0 being the text itself; layers decoded; bombs left alone."""
-    queue, seen, room = deque([Layer(text)]), {text}, [MOST_BYTES, 0]
+    queue, room = deque([Layer(text)]), [MOST_BYTES, 0]
+    seen: set[tuple[str, bytes, bytes]] = set()
     found: dict[Span, int] = {}
     layers = -1
     while queue:
@@ -204,8 +216,8 @@ def scan(text: str) -> tuple[list[tuple[str, int, int, int]], int, int]:
         for kind, start, end in scan_plain(layer.text):
             found.setdefault((kind, *layer.original(start, end)), layer.depth)
         for new in (*_percent(layer), *_escapes(layer), *_base64(layer, room)):
-            if new.text not in seen:
-                seen.add(new.text)
+            if not new.cyclic() and (place := new.place()) not in seen:
+                seen.add(place)
                 queue.append(new)
     order = sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return [(*s, found[s]) for s in order], layers, room[1]

@@ -104,6 +104,14 @@ def test_secrets(spark):
     assert secrets.redact(documents(spark, texts)).where("doc_id = 1").first().text == "é [assign] end"
 
 
+def test_secrets_in_repeated_blobs():
+    secret = b"password=hunter2hunter2"
+    plain, packed = base64.b64encode(secret).decode(), base64.b64encode(gzip.compress(secret)).decode()
+    text = f"{plain} and {plain}, {packed} then {packed}"
+    assert [f[1] for f in secrets.scan(text)[0]] == [m.start() for m in re.finditer(f"{re.escape(plain)}|{re.escape(packed)}", text)]
+    assert secrets.redacted(text).count("[assign]") == 4 and "H4sI" not in secrets.redacted(text)
+
+
 def test_pii(spark):
     model = pii.train(pii.labelled_rows(250), rounds=80)
     held = pii.labelled_rows(100, 99)
