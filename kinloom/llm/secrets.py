@@ -38,7 +38,10 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+BASE64 = re.compile("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
+
+#: A line break in base64 and the line after it, up to where it ends or a mark closes it.
+WRAP = re.compile(r"""[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})(?=[\x20\t]*(?:\r?\n|\Z)|["'<,;)\]}\\])""")
 
 Span = tuple[str, int, int]
 
@@ -171,12 +174,30 @@ def _text(raw: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.9 * len(text) else None
 
 
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Spans of base64: every unbroken run, and runs that go on over line breaks, with and without their last line."""
+    done = 0
+    for m in BASE64.finditer(text):
+        yield [m.span()]
+        if m.start() < done:
+            continue
+        lines = [m.span()]
+        while lines[-1][1] - lines[-1][0] >= 19 and text[lines[-1][1] - 1] != "=" and (more := WRAP.match(text, lines[-1][1])):
+            lines.append(more.span(1))
+        done = lines[-1][1]
+        if len(lines) > 1:
+            yield lines
+        if len(lines) > 2:
+            yield lines[:-1]
+
+
 def _base64(layer: Layer, room: list[int]) -> list[Layer]:
-    if _longest(layer.text) < 20:
+    if _longest(layer.text) < 19:
         return []
     out = []
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
+    for lines in _runs(layer.text):
+        run = "".join(layer.text[a:b] for a, b in lines)
+        start, end, body = lines[0][0], lines[-1][1], run.rstrip("=")
         if len(body) % 4 == 1:
             continue
         try:
@@ -194,12 +215,13 @@ def _base64(layer: Layer, room: list[int]) -> list[Layer]:
         if (text := _text(inner)) is None:
             continue
         if packed:
-            starts, ends = np.full(len(text), m.start()), np.full(len(text), m.end())
+            starts, ends = np.full(len(text), start), np.full(len(text), end)
         else:  # three bytes stand for four characters
             widths = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
             after = np.cumsum(widths)
-            starts = m.start() + (after - widths) // 3 * 4
-            ends = np.minimum(m.start() + -(-after // 3) * 4, m.end())
+            places = np.concatenate([np.arange(a, b) for a, b in lines])
+            starts = places[(after - widths) // 3 * 4]
+            ends = places[np.minimum(-(-after // 3) * 4, len(run)) - 1] + 1
         out.append(layer.child(text, starts, ends))
     return out
 

@@ -112,6 +112,20 @@ def test_secrets_in_repeated_blobs():
     assert secrets.redacted(text).count("[assign]") == 4 and "H4sI" not in secrets.redacted(text)
 
 
+def test_secrets_in_short_and_wrapped_base64():
+    short = base64.b64encode(b"token=abcd1234").decode()
+    for blob in (short, short.rstrip("=")):
+        assert secrets.redacted(f"x {blob} y") == "x [assign] y"
+    noise = " ".join(f"word{i}" for i in range(60))
+    for raw in (gzip.compress(f"{noise} password=hunter2hunter2 {noise}".encode()), f"{noise[:40]} password=hunter2hunter2hunter2hunter2 {noise}".encode()):
+        blob = base64.b64encode(raw).decode()
+        for width, line in ((76, "\n"), (64, "\r\n")):
+            text = "before\n" + line.join(blob[i : i + width] for i in range(0, len(blob), width)) + "\nafter this"
+            assert any(kind == "assign" and "\n" in text[start:end] for kind, start, end, _ in secrets.scan(text)[0])
+            left = secrets.redacted(text)
+            assert left.startswith("before\n") and left.endswith("\nafter this")
+
+
 def test_pii(spark):
     model = pii.train(pii.labelled_rows(250), rounds=80)
     held = pii.labelled_rows(100, 99)
