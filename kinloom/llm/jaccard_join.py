@@ -270,8 +270,18 @@ def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id; documents without words all stay.
 
-    Rows that repeat an id inside one component count as one document. All columns stay.
+    Rows that repeat an id inside one component count as one document. Rows with a null id count by their texts: a
+    component with ids drops them, one of null ids alone keeps one. All columns stay.
     """
-    found = components(docs, n, threshold, id_col, text_col)
-    first = found.where("doc_id = component_id or group_key is null").select("doc_id").distinct()
-    return docs.join(first.withColumnRenamed("doc_id", id_col), id_col, "left_semi").select(*docs.columns)
+    if docs.where(F.col(id_col).isNull()).isEmpty():
+        found = components(docs, n, threshold, id_col, text_col)
+        first = found.where("doc_id = component_id or group_key is null").select("doc_id").distinct()
+        return docs.join(first.withColumnRenamed("doc_id", id_col), id_col, "left_semi").select(*docs.columns)
+    unnamed = F.col(id_col).isNull()
+    key = F.struct(unnamed.cast("int").alias("unnamed"), F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("id"), F.when(unnamed, F.sha2(F.coalesce(text_col, F.lit("")), 256)).otherwise("").alias("sha"))
+    keyed = docs.withColumn("_key", key)
+    found = components(keyed, n, threshold, "_key", text_col)
+    first = found.where("doc_id = component_id or group_key is null").select(F.col("doc_id").alias("_key"), F.col("group_key").isNull().alias("_bare")).distinct()
+    kept = keyed.join(first, "_key")
+    alone = F.expr("_key.unnamed = 1 and not _bare")
+    return kept.where(~alone).unionByName(kept.where(alone).dropDuplicates(["_key"])).select(*docs.columns)

@@ -214,6 +214,15 @@ def test_jaccard_components(spark):
     assert kept == {i for i, c in enumerate(label) if i == c}
 
 
+def test_near_duplicates_keep_null_ids(spark):
+    r = random.Random(10)
+    a, b, c = (words(r, 120) for _ in range(3))
+    rows = [(None, a), (None, a), (None, edited(r, a, 1)), (None, b), (4, c), (None, c), (4, c), (None, ""), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in rows], DOCS)
+    kept = Counter((x.doc_id, x.text if x.text != rows[2][1] else a) for x in jaccard_join.keep_one(docs).collect())
+    assert kept == {(None, a): 1, (None, b): 1, (4, c): 2, (None, ""): 1, (None, None): 1, (7, ""): 1}
+
+
 def test_repeated_passages(spark):
     r = random.Random(5)
     fresh = lambda n: words(r, n, 10**6)
