@@ -328,13 +328,38 @@ def crf_spans(model: Crf, texts: list[str]) -> list[list[Span]]:
     return out
 
 
+def beside(text: str, spans: list[Span], base: list[Span]) -> list[Span]:
+    """The field's ``spans`` without the words of ``base`` spans: the parts between these that are plausible."""
+    out = []
+    for kind, start, end in spans:
+        met = sorted((b[1], b[2]) for b in base if start < b[2] and b[1] < end)
+        if not met:
+            out.append((kind, start, end))
+            continue
+        at = start
+        for b, e in [*met, (end, end)]:
+            while at < b < end and not text[b - 1].isspace():
+                b -= 1
+            stop = b
+            while at < stop and text[at] in EDGE + " \t\r\n":
+                at += 1
+            while at < stop and text[stop - 1] in EDGE + " \t\r\n":
+                stop -= 1
+            if at < stop and plausible(kind, text[at:stop]):
+                out.append((kind, at, stop))
+            at = max(at, e)
+            while at < end and not text[at].isspace():
+                at += 1
+    return out
+
+
 FINDING = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
 
 
 def find_pii(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``findings`` (array of ``kind, start, end, base``; code points of the text, end exclusive).
 
-    Base spans are those of the patterns; spans of the field that overlap a base span are left out. One row per row
+    Base spans are those of the patterns; of the field's spans only what lies outside the words of base spans is kept. One row per row
     of ``docs``; a null text counts as empty. Other columns are not carried. Without ``model`` one is trained from
     :func:`labelled_rows`.
     """
@@ -346,7 +371,7 @@ def find_pii(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id",
             rows = []
             for text, more in zip(texts, crf_spans(field, texts), strict=True):
                 base = scan_base(text)
-                own = [(*s, True) for s in base] + [(*s, False) for s in more if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+                own = [(*s, True) for s in base] + [(*s, False) for s in beside(text, more, base)]
                 own.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
                 rows.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(kind))], ["doc_id", "findings"])

@@ -141,6 +141,13 @@ def test_pii(spark):
     assert rows[2] == [] and rows[3] == []
 
 
+def test_pii_beside_base_spans(spark, monkeypatch):
+    texts = ["+1 (274) 555-9629, (212) 555-1234", "(212) 555-1234\n+1 (274) 555-9629\n(313) 555-4321", "a@b.com c(at)d.com", "x a@b.com"]
+    monkeypatch.setattr(pii, "crf_spans", lambda model, texts: [[("email" if "@" in t else "phone", 0, len(t))] for t in texts])
+    found = lambda t: [t[s:e].strip("()") for _, s, e in pii.beside(t, pii.crf_spans(None, [t])[0], pii.scan_base(t))]
+    assert [[re.sub(r"[^0-9a-z@]", "", x) for x in found(t)] for t in texts] == [["2125551234"], ["2125551234", "3135554321"], ["catdcom"], []]
+
+
 def test_sharding(spark):
     docs = documents(spark, [words(random.Random(i), 5) for i in range(500)] + [None, ""], ["hot", "hot", "b", None])
     rows = sharding.shard(docs).collect()
