@@ -5,7 +5,7 @@ and the order is cut into shards of equal counts, so every shard holds each sour
 
 No source meets in one task: a row's hash names one of many equal buckets of its source, only the bucket counts are
 summed in order (at most ``2 ** MOST_BITS`` a source), and rows are ranked inside their bucket. The global order is
-cut in the same way by fractional rank. Buckets grow in number with the rows, not in size.
+cut in the same way by fractional rank. Buckets grow in number with the rows, up to ``2 ** MOST_BITS`` of them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ SHARDS, SEED, BUCKET, MOST_BITS = 24, 29, 4096, 18
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, stratum, size, text_crc32, shard, slot`` and the columns of ``carry``, a row for each row of ``docs``.
+    """``doc_id, stratum, size, text_crc32, shard, slot`` and the columns of ``carry`` as ``carried_<name>``, a row for each
+    row of ``docs``.
 
     ``size`` is the UTF-8 length of the text (null: 0) plus 8, ``slot`` the place in the shard, gapless from 0; shard
     counts differ by one at the most. A null source is a source of its own. Rows alike in id and text share a hash
@@ -54,15 +55,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
     placed = ranked.join(starts, "slice").withColumn("place", place)
     number = F.expr(f"place * {shards}L div {max(1, total)}L")
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
-    return placed.withColumn("shard", number).select("doc_id", "stratum", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("place") - first).alias("slot"), *(F.col(f"carried_{c}").alias(c) for c in carry))
+    return placed.withColumn("shard", number).select("doc_id", "stratum", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("place") - first).alias("slot"), *(F.col(f"carried_{c}") for c in carry))
 
 
 def _before(column: str, window) -> Column:
     return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write the rows of ``docs`` as one Parquet folder for each shard, in slot order."""
-    carry = tuple(c for c in docs.columns if c not in (options.get("id_col", "doc_id"), "stratum", "size", "text_crc32", "shard", "slot"))
-    placed = shard(docs, carry=carry, **options)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(docs: DataFrame, path: str, rows_per_file: int = 100_000, **options) -> None:
+    """Write the rows of ``docs`` as one Parquet folder ``shard=N`` for each shard, with ``slot`` and all their columns.
+
+    A file holds a run of ``rows_per_file`` slots in their order, so a shard is written by many tasks. Columns of
+    ``docs`` that are called ``shard``, ``slot`` or ``run`` (in any case) get ``_`` behind their name.
+    """
+    taken = {"shard", "slot", "run"}
+    renamed = docs.toDF(*(f"{c}_" if c.lower() in taken else c for c in docs.columns))
+    names = {k: (f"{v}_" if v.lower() in taken else v) for k, v in options.items() if k.endswith("_col")}
+    placed = shard(renamed, carry=tuple(renamed.columns), **(options | names))
+    out = placed.select("shard", "slot", *(F.col(f"carried_{c}").alias(c) for c in renamed.columns))
+    runs = out.withColumn("run", F.floor(F.col("slot") / rows_per_file))
+    runs.repartition("shard", "run").sortWithinPartitions("shard", "slot").drop("run").write.partitionBy("shard").mode("overwrite").parquet(path)
