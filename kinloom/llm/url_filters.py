@@ -1,9 +1,10 @@
 """URL filtering by stated rules and by association rules that Spark's FP-growth mines from labelled URLs.
 
-A URL is a set of tokens (top-level domain, site, host, path words, query keys, extension, ...). FP-growth mines token
-sets that go with a label; rules are pruned by support and confidence, and a rule that a shorter one of no less
-confidence implies is dropped. What is left is bounded by the support, not by the data. An inverted index from tokens
-to rules counts, for a URL, how many tokens of each rule it has; a rule fits when all are there.
+A URL is a set of tokens (top-level domain, site, host, path words, query keys, extension, ...). Tokens that stand in
+the same labelled URLs are one item, as sets of them would double with each; rules take any of them in its place.
+FP-growth mines item sets that go with a label; rules are pruned by support and confidence, and a rule that a shorter
+one of no less confidence implies is dropped. What is left is bounded by the support, not by the data. An inverted
+index from tokens to rules counts, for a URL, how many items of each rule it has; a rule fits when all are there.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinloom.plans.lineage import cut
+
 #: The stated rules as (verdict, host, path).
 STATED = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,10 +74,13 @@ def tokens(url: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Mined:
+    """``tokens`` names one token of each item; ``items`` holds all tokens that may stand for each."""
+
     tokens: tuple[str, ...]
     verdict: str
     confidence: float
     support: float
+    items: tuple[tuple[str, ...], ...] = ()
 
 
 def with_tokens(pages: DataFrame, url_col: str = "url", name: str = "tokens") -> DataFrame:
@@ -91,15 +97,24 @@ def mine(labelled: DataFrame, min_support: float = 0.02, min_confidence: float =
     """Rules from all rows of ``labelled (tokens, label)``, best first.
 
     Only rules that end in a label are kept, and of those none whose tokens include another rule's for the same
-    label with at least its confidence. No labelled rows, no rules. Their number depends on ``min_support`` alone:
-    what reaches the driver does not grow with the rows.
+    label with at least its confidence. No labelled rows, no rules. Their number and that of the items depend on
+    ``min_support`` alone: what reaches the driver does not grow with the rows.
     """
-    items = labelled.where("label is not null").select(F.array_union(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
-    if items.isEmpty():
+    rows = cut(labelled.where("label is not null").select(F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"), "label"))
+    total = rows.count()
+    if not total:
         return []
+    # tokens that stand in the same rows have equal counts and sums of the rows' hashes
+    row = F.xxhash64("tokens", "label").cast("decimal(38,0)")
+    each = rows.select(F.explode("tokens").alias("token"), row.alias("row")).groupBy("token").agg(F.count("*").alias("n"), F.sum("row").alias("in"))
+    each = each.where(F.col("n") >= min_support * total).groupBy("n", "in").agg(F.array_sort(F.collect_list("token")).alias("item")).collect()
+    members = {r["item"][0]: tuple(r["item"]) for r in each}
+    chosen = F.array(*(F.lit(t) for t in sorted(members))).cast("array<string>")
+    items = rows.select(F.array_union(F.array_intersect("tokens", chosen), F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rows = model.associationRules.where(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL))).select("antecedent", "consequent", "confidence", "support").collect()
-    rules = sorted((Mined(tuple(sorted(r[0])), r[1][0].removeprefix(LABEL), r[2], r[3]) for r in rows), key=lambda m: (-m.confidence, -m.support, len(m.tokens), m.tokens))
+    found = model.associationRules.where(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL))).select("antecedent", "consequent", "confidence", "support").collect()
+    named = ((tuple(sorted(r[0])), r) for r in found)
+    rules = sorted((Mined(own, r[1][0].removeprefix(LABEL), r[2], r[3], tuple(members[t] for t in own)) for own, r in named), key=lambda m: (-m.confidence, -m.support, len(m.tokens), m.tokens))
     kept: list[Mined] = []
     for m in sorted(rules, key=lambda m: (len(m.tokens), m.tokens)):
         if not any(k.verdict == m.verdict and k.confidence >= m.confidence and set(k.tokens) <= set(m.tokens) for k in kept):
@@ -113,18 +128,19 @@ class Index:
     def __init__(self, rules: list[Mined]) -> None:
         self.rules = rules
         self.sizes = [len(r.tokens) for r in rules]
-        self.postings: dict[str, list[int]] = defaultdict(list)
+        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, r in enumerate(rules):
-            for t in r.tokens:
-                self.postings[t].append(i)
+            for k, item in enumerate(r.items or [(t,) for t in r.tokens]):
+                for t in item:
+                    self.postings[t].append((i, k))
 
     def best(self, found: list[str]) -> Mined | None:
-        """The first rule, in the order given, all of whose tokens are there."""
-        hits: dict[int, int] = defaultdict(int)
+        """The first rule, in the order given, all of whose items are there."""
+        hits: dict[int, set[int]] = defaultdict(set)
         for t in found:
-            for i in self.postings.get(t, ()):
-                hits[i] += 1
-        fits = [i for i, n in hits.items() if n == self.sizes[i]]
+            for i, k in self.postings.get(t, ()):
+                hits[i].add(k)
+        fits = [i for i, own in hits.items() if len(own) == self.sizes[i]]
         return self.rules[min(fits)] if fits else None
 
 
