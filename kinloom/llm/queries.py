@@ -23,7 +23,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text: counts and digest of the base spans, and all spans."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(findings, f -> f.depth = 0 and f.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in secrets.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_spans("f.depth = 0"), 256).alias("base_sha256"), _spans().alias("spans"), "layers", "bombs")
+    return found.select("doc_id", *counts, F.sha2(_spans("f.depth = 0"), 256).alias("base_sha256"), _spans().alias("spans"), "layers")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and verdict of every document."""
     judged = quality.cascade(_table(spark, sf_dir, "documents"), all_features=True)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
