@@ -8,11 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.plans.lineage import cut
 
-def blocks_by_key(profiles: DataFrame, keys: Column, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct membership of profiles in the blocks of their keys (any array expression)."""
-    rows = profiles.select(F.explode(keys).alias("block_key"), "profile_id", "source_id").where("block_key <> ''")
-    return (rows.where(~F.col("block_key").isin(*exclude)) if exclude else rows).distinct()
+
+def blocks_by_key(profiles: DataFrame, keys: Column, exclude: tuple[str, ...] = (), unique: bool = True) -> DataFrame:
+    """Distinct membership of profiles in the blocks of their keys (any array expression).
+
+    Keys are made distinct in their row, so nothing is shuffled here. Profiles that stand in several rows need
+    ``unique=False``, which shuffles the memberships once.
+    """
+    rows = profiles.select(F.explode(F.array_distinct(keys)).alias("block_key"), "profile_id", "source_id").where("block_key <> ''")
+    rows = rows.where(~F.col("block_key").isin(*exclude)) if exclude else rows
+    return rows if unique else rows.distinct()
 
 
 def block_stats(membership: DataFrame, clean: bool = False) -> DataFrame:
@@ -26,7 +33,7 @@ def block_stats(membership: DataFrame, clean: bool = False) -> DataFrame:
 def sorted_neighbourhood(keys: DataFrame, window: int) -> DataFrame:
     """Blocks of ``window`` neighbours in the order of ``(block_key, profile_id)``: ``block_id, profile_id, source_id``.
 
-    The global position is found slice by slice, so no task sorts all rows.
+    The global position is found range by range, so no task sorts all rows.
     """
     placed = global_position(keys, ["block_key", "profile_id"])
     spread = placed.select("profile_id", "source_id", F.explode(F.sequence(F.greatest(F.col("position") - window + 1, F.lit(0)), F.col("position"))).alias("block_id"))
@@ -34,19 +41,25 @@ def sorted_neighbourhood(keys: DataFrame, window: int) -> DataFrame:
     return spread.join(sizes, "block_id").distinct()
 
 
-def global_position(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``position`` from 0 in the total order of the string or number columns ``order``.
+def global_position(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``df`` with ``position`` from 0 in the total order of ``order``; rows alike in it follow each other in any order.
 
-    The first column must be a string: rows are dealt by its first two characters, the counts of these slices are
-    summed in order, and rows are numbered inside their slice.
+    Rows are dealt by sampled ranges of the order and sorted in each; a range's first position is the count of those
+    before it. The ranges are as even as the order's values are distinct.
     """
-    ranked = df.withColumn("_key", F.col(order[0]))
-    edges = ranked.select(F.substring(F.col("_key").cast("string"), 1, 2).alias("_slice"))
-    counts = edges.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = counts.select("_slice", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = ranked.withColumn("_slice", F.substring(F.col("_key").cast("string"), 1, 2))
-    number = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
-    return own.join(before, "_slice").withColumn("position", F.col("_before") + number - 1).drop("_slice", "_before", "_key")
+    bits = 33  # ids of a partition's rows begin at its number, shifted by so many bits
+    taken = set(df.columns)
+    at = next(n for n in (f"_{i}" for i in range(len(taken) + 1)) if n not in taken)
+    ranked = cut(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))
+    counts = ranked.groupBy(F.shiftright(at, bits).alias("range")).agg(F.count("*").alias("n"))
+    first = {r["range"]: r["n"] for r in counts.collect()}
+    starts, total = {}, 0
+    for k in sorted(first):
+        starts[k], total = total, total + first[k]
+    if not starts:
+        return ranked.withColumn("position", F.col(at)).drop(at)
+    before = F.element_at(F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)), F.shiftright(at, bits))
+    return ranked.withColumn("position", before + F.col(at).bitwiseAND((1 << bits) - 1)).drop(at)
 
 
 def minhash(tokens: Column, hashes: int, seed: int = 7) -> Column:
@@ -90,6 +103,13 @@ def purge(membership: DataFrame, blocks: DataFrame, smooth: float = 1.0) -> Data
     return membership.join(kept, "block_key")
 
 
+def filter_blocks_top(purged: DataFrame, ratio: float = 0.8, least: int = 1) -> DataFrame:
+    """Each profile's ``max(least, round(n * ratio))`` smallest blocks, ties by key; a hard top, unlike :func:`filter_blocks`."""
+    own = Window.partitionBy("profile_id")
+    ranked = purged.withColumn("n", F.count("*").over(own)).withColumn("rn", F.row_number().over(own.orderBy("comparisons", "block_key")))
+    return ranked.where(F.col("rn") <= F.greatest(F.lit(least), F.bround(F.col("n") * F.lit(ratio)).cast("int"))).select("block_key", "profile_id", "source_id")
+
+
 def filter_blocks(purged: DataFrame, ratio: float = 0.8) -> DataFrame:
     """Each profile's smallest blocks: those up to the comparisons of its ``max(1, round(n * ratio))``-th; ties stay."""
     own = Window.partitionBy("profile_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.operators.blocking import global_position
+
 
 def pairs(membership: DataFrame, clean: bool = False) -> DataFrame:
     """``p1 < p2`` with ``cbs`` (common blocks), ``raccb`` and ``rs`` (sums of 1 / comparisons and 1 / size).
@@ -97,9 +99,13 @@ def wnp(edges: DataFrame, mode: str = "or", threshold: str = "avg", chi2_divider
     return x.where(keep).select(*edges.columns)
 
 
+def _heaviest(edges: DataFrame, weight: str, keep: int) -> DataFrame:
+    return global_position(edges, [F.desc(weight), F.col("p1"), F.col("p2")]).where(F.col("position") < keep).select(*edges.columns)
+
+
 def cep(edges: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` heaviest edges, ties by ids."""
-    return edges.orderBy(F.desc("weight"), "p1", "p2").limit(keep)
+    """The ``keep`` heaviest edges, ties by ids. Their number may grow with the edges: they are found by ranges of the order."""
+    return _heaviest(edges, "weight", keep)
 
 
 def cnp(edges: DataFrame, k: int, mode: str = "or") -> DataFrame:
@@ -131,7 +137,7 @@ def supervised(scored: DataFrame, algorithm: str, k: int = 1) -> DataFrame:
     if algorithm == "wep":
         return edges.join(F.broadcast(edges.agg(F.avg("p_match").alias("_t"))), p >= F.col("_t")).drop("_t")
     if algorithm == "cep":
-        return edges.orderBy(F.desc("p_match"), "p1", "p2").limit(k)
+        return _heaviest(edges, "p_match", k)
     if algorithm == "blast":
         both = edges.withColumn("_a", F.max("p_match").over(by1)).withColumn("_b", F.max("p_match").over(by2))
         return both.where(p >= 0.35 * (F.col("_a") + F.col("_b"))).drop("_a", "_b")

@@ -18,7 +18,7 @@ def profile_schedule(edges: DataFrame, k: int = 20, batch: int = 40) -> DataFram
     best = F.row_number().over(Window.partitionBy("p1").orderBy(F.desc("weight"), "p2"))
     first = edges.withColumn("rn", best).where("rn = 1").select(F.lit(1).alias("phase"), F.lit(0).cast("long").alias("batch"), "weight", "p1", "p2")
     means = edges.groupBy(F.col("p1").alias("node")).agg(F.round(F.avg("weight"), 9).alias("mean"))
-    rank = means.select("node", F.row_number().over(Window.orderBy(F.desc("mean"), "node")).cast("long").alias("visit"))
+    rank = global_position(means, [F.desc("mean"), F.col("node")]).select("node", (F.col("position") + 1).alias("visit"))
     near = both_ways(edges).join(rank, "node").join(rank.select(F.col("node").alias("other"), F.col("visit").alias("seen")), "other", "left")
     top = near.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), "other"))).where(F.col("rn") <= k)
     fresh = top.where("seen is null or seen > visit").join(first.select("p1", "p2"), ["p1", "p2"], "left_anti")

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    """Use ``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and all runs in one process (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared and not (context.master + "[").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kinloom-checkpoint-"))
 
 

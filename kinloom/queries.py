@@ -11,6 +11,7 @@ from kinloom.functions import augment as A
 from kinloom.functions import similarity as S
 from kinloom.functions import text as X
 from kinloom.operators import attributes, blocking, clustering, evaluation, graph, progressive, simjoin
+from kinloom.plans.lineage import cut
 from kinloom.sources import loaders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,8 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer parts than half of the cores, dealt to all; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("profile_id"), F.lit(0).alias("source_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("profile_id"), F.lit(0).alias("source_id"), "text")
 
 
 def two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +78,12 @@ JS = f"{CORE}, {NODES}, w AS (SELECT p1, p2, round(c / (bi + bj - c), 9) AS weig
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.clean_blocks(profiles(spark, sf_dir), X.tokens(F.col("text")))
+    return cut(blocking.clean_blocks(profiles(spark, sf_dir), X.tokens(F.col("text"))))
 
 
 def js_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = members(spark, sf_dir)
-    return graph.weighted(graph.pairs(own), own, "js").withColumn("weight", F.round("weight", 9))
+    return cut(graph.weighted(graph.pairs(own), own, "js").withColumn("weight", F.round("weight", 9)))
 
 
 # tokenisers ----------------------------------------------------------------------------------------------------------
@@ -210,7 +217,8 @@ def pairs_cbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _weights(scheme: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = members(spark, sf_dir)
-        return graph.weighted(graph.pairs(own), own, scheme).withColumn("weight", F.round("weight", 6))
+        edges = cut(graph.pairs(own)) if scheme == "ejs" else graph.pairs(own)
+        return graph.weighted(edges, own, scheme).withColumn("weight", F.round("weight", 6))
 
     QUERIES[f"weights_{scheme}"] = run
     SQL[f"weights_{scheme}"] = f"{CORE}, {NODES} SELECT p1, p2, round({WEIGHTS[scheme]}, 6) AS weight FROM j"
@@ -241,25 +249,38 @@ def wnp_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.wnp(js_edges(spark, sf_dir), "and", "max")
 
 
-@query(f"{JS} SELECT * FROM w ORDER BY weight DESC, p1, p2 LIMIT 500")
+CARDINALITY = "kc AS (SELECT count(*) // 2 AS cep_k, greatest(1, CAST(floor(count(*) / count(DISTINCT profile_id) - 1) AS BIGINT)) AS cnp_k FROM f)"
+
+
+def _bounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """Edges, and the bounds that their blocks set to the number kept in all and for each node."""
+    own = members(spark, sf_dir)
+    bound = graph.cardinality(own).first()
+    return graph.weighted(graph.pairs(own), own, "js").withColumn("weight", F.round("weight", 9)), bound["cep_k"], bound["cnp_k"]
+
+
+@query(f"{JS}, {CARDINALITY} SELECT p1, p2, weight FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, p1, p2) AS rn FROM w), kc WHERE rn <= cep_k")
 def cep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 500 heaviest edges."""
-    return graph.cep(js_edges(spark, sf_dir), 500)
+    """The heaviest edges, half as many as the blocks have places."""
+    edges, keep, _ = _bounded(spark, sf_dir)
+    return graph.cep(edges, keep)
 
 
 TOPK = "r AS (SELECT n, o, weight, p1, p2, row_number() OVER (PARTITION BY n ORDER BY weight DESC, o) AS rn FROM (SELECT p1 AS n, p2 AS o, * FROM w UNION ALL SELECT p2, p1, * FROM w))"
 
 
-@query(f"{JS}, {TOPK} SELECT p1, p2, any_value(weight) AS weight FROM r WHERE rn <= 3 GROUP BY 1, 2")
+@query(f"{JS}, {CARDINALITY}, {TOPK} SELECT p1, p2, any_value(weight) AS weight FROM r, kc WHERE rn <= cnp_k GROUP BY 1, 2")
 def cnp_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges among the three heaviest of either end."""
-    return graph.cnp(js_edges(spark, sf_dir), 3)
+    """Edges among the heaviest of either end, as many as a profile has blocks less one."""
+    edges, _, k = _bounded(spark, sf_dir)
+    return graph.cnp(cut(edges), k)
 
 
-@query(f"{JS}, {TOPK} SELECT p1, p2, any_value(weight) AS weight FROM r WHERE rn <= 3 GROUP BY 1, 2 HAVING count(*) = 2")
+@query(f"{JS}, {CARDINALITY}, {TOPK} SELECT p1, p2, any_value(weight) AS weight FROM r, kc WHERE rn <= cnp_k GROUP BY 1, 2 HAVING count(*) = 2")
 def cnp_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges among the three heaviest of both ends."""
-    return graph.cnp(js_edges(spark, sf_dir), 3, "and")
+    """Edges among the heaviest of both ends, as many as a profile has blocks less one."""
+    edges, _, k = _bounded(spark, sf_dir)
+    return graph.cnp(cut(edges), k, "and")
 
 
 FEATURES = f"""{CORE}, {NODES}, ca AS (SELECT sum(comparisons)::DOUBLE AS c_all FROM kb),
@@ -275,7 +296,7 @@ def rounded(df: DataFrame) -> DataFrame:
 def edge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine features of every edge."""
     own = members(spark, sf_dir)
-    return rounded(graph.features(graph.pairs(own), own))
+    return rounded(graph.features(cut(graph.pairs(own)), own))
 
 
 SCORED = "s AS (SELECT l_partkey AS p1, l_suppkey + 1000000 AS p2, round(max(l_discount) * 10, 6) AS p_match, CAST(max(l_discount) * 10 >= 0.7 AS INT) AS pred, max(CAST(l_returnflag = 'R' AS INT)) AS is_match FROM lineitem GROUP BY 1, 2), v AS (SELECT * FROM s WHERE p_match >= 0.5)"
@@ -396,7 +417,7 @@ def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH d AS (SELECT doc_id AS id, list_distinct({TOKENS}) AS s, len(list_distinct({TOKENS})) AS n FROM documents), x AS (SELECT a.id AS p1, b.id AS p2, len(list_intersect(a.s, b.s)) AS c, a.n + b.n AS t FROM d a JOIN d b ON a.id < b.id AND a.n > 0 AND a.n * 10 >= b.n * 8 AND b.n * 10 >= a.n * 8) SELECT p1, p2, round(c / (t - c) + 1e-10, 6) AS similarity FROM x WHERE c / (t - c) >= 0.8")
 def set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose token sets have a Jaccard similarity of 0.8 or more."""
-    return rounded(simjoin.set_similarity_join(table(spark, sf_dir, "documents"), X.tokens(F.col("text")), 0.8, "doc_id"))
+    return rounded(simjoin.set_similarity_join(profiles(spark, sf_dir), X.tokens(F.col("text")), 0.8, "profile_id"))
 
 
 @query("WITH d AS (SELECT p_partkey AS id, p_name AS s FROM part) SELECT x.id AS p1, y.id AS p2, levenshtein(x.s, y.s)::INT AS distance FROM d x JOIN d y ON x.id < y.id AND abs(len(x.s) - len(y.s)) <= 2 WHERE levenshtein(x.s, y.s) <= 2")
