@@ -220,6 +220,8 @@ def slices(stream: Iterator[pa.RecordBatch], text: int = 1, most: int = 4 << 20)
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, end - at), column.slice(at, end - at)
             at = end
+        del batch, column
+        pa.default_memory_pool().release_unused()  # a worker's memory is shared with others on its executor
 
 
 def batches(stream: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -134,19 +134,21 @@ def pack(docs: DataFrame, capacity: int = LENGTH, pad: int = 0, **options) -> Da
     cut = pieces(docs, length=capacity, with_ids=True, groups=_groups(docs), **options)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table, bins, offsets = _filled(table, capacity)
+        ids = table["ids"].combine_chunks()
+        begins, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        table, bins, offsets = _filled(table.drop_columns("ids").append_column("row", pa.array(np.arange(len(table)))), capacity)
         order = np.lexsort((offsets, bins))
         table, bins, offsets = table.take(pa.array(order)), bins[order], offsets[order]
-        begins = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
-        edges = pa.array(np.append(begins, len(bins)).astype(np.int32))
+        first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
         lengths = table["length"].to_numpy()
-        ids = np.full((len(begins), capacity), pad, np.int32)
+        out = np.full((len(first), capacity), pad, np.int32)
         sequence = np.cumsum(np.append(False, bins[1:] != bins[:-1]))
-        places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(offsets, lengths)
-        ids[np.repeat(sequence, lengths), places] = table["ids"].combine_chunks().flatten().to_numpy()
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(begins) + 1, dtype=np.int32) * capacity), pa.array(ids.ravel()))
+        for row, at, offset, n in zip(table["row"].to_pylist(), sequence.tolist(), offsets.tolist(), lengths.tolist(), strict=True):
+            out[at, offset : offset + n] = flat[begins[row] : begins[row] + n]
+        packed = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * capacity), pa.array(out.ravel()))
+        edges = pa.array(np.append(first, len(bins)).astype(np.int32))
         held = [pa.ListArray.from_arrays(edges, table[c].combine_chunks()) for c in ("doc_id", "start", "length")]
-        return pa.Table.from_arrays([pa.array((key[0].as_py() << 32) + bins[begins]), pa.array(np.add.reduceat(lengths, begins)), flat, *held], names)
+        return pa.Table.from_arrays([pa.array((key[0].as_py() << 32) + bins[first]), pa.array(np.add.reduceat(lengths, first)), packed, *held], names)
 
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("doc_ids", T.ArrayType(cut.schema["doc_id"].dataType)), T.StructField("starts", longs), T.StructField("lengths", longs)])
