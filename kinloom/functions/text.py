@@ -32,27 +32,38 @@ def ngrams(text: Column, size: int = 3, padded: bool = True) -> Column:
     return F.array_distinct(F.flatten(F.transform(tokens(text), grams)))
 
 
-def extended_ngrams(text: Column, size: int = 3) -> Column:
+def extended_ngrams(text: Column, size: int = 3, most_left_out: int | None = None) -> Column:
     """Distinct joined combinations of each token's n-grams: all of ``n``, or with up to ``n - floor(0.95 * n)`` left out.
 
-    That is one up to 20 n-grams and two up to 40. From 41 on it stays two, since the number of combinations would
-    grow exponentially with the token.
+    That is one up to 20 n-grams, two up to 40, and so on: the combinations grow exponentially with a token's length.
+    ``most_left_out`` bounds how many are left out; None, the default, does not.
     """
 
     def of(token: Column) -> Column:
-        return _combined(substrings(token, size))
+        return _combined(substrings(token, size), most_left_out)
 
     return F.array_distinct(F.flatten(F.transform(tokens(text), of)))
 
 
-def _combined(grams: Column) -> Column:
+def _combined(grams: Column, most_left_out: int | None) -> Column:
     n = F.size(grams)
     none = F.array().cast("array<string>")
     places = F.sequence(F.lit(0), n - 1)
+    left_out = n - F.floor(n * F.lit(0.95).cast("decimal(3,2)")).cast("int")
+    if most_left_out is not None:
+        left_out = F.least(left_out, F.lit(most_left_out))
     join = lambda kept: F.array_join(kept, "")
     one = F.transform(places, lambda i: join(F.filter(grams, lambda _, k: k != i)))
-    two = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: join(F.filter(grams, lambda _, k: (k != i) & (k != j))))))
-    return F.concat(F.array(join(grams)), F.when(n > 1, one).otherwise(none), F.when(n > 20, two).otherwise(none))
+
+    def wider(found: Column, size: Column) -> Column:
+        last = lambda out: F.coalesce(F.get(out, F.size(out) - 1), F.lit(-1))
+        longest = F.filter(found, lambda out: F.size(out) == size - 1)
+        return F.concat(found, F.flatten(F.transform(longest, lambda out: F.transform(F.filter(places, lambda j: j > last(out)), lambda j: F.array_append(out, j)))))
+
+    # the places left out, by rising number of them; from the second on
+    many = F.aggregate(F.sequence(F.lit(2), left_out), F.transform(places, lambda i: F.array(i)), wider)
+    two = F.transform(F.filter(many, lambda out: F.size(out) > 1), lambda out: join(F.filter(grams, lambda _, k: ~F.array_contains(out, k))))
+    return F.concat(F.array(join(grams)), F.when((n > 1) & (left_out > 0), one).otherwise(none), F.when((n > 20) & (left_out > 1), two).otherwise(none))
 
 
 def suffixes(text: Column, least: int = 2) -> Column:
@@ -95,8 +106,12 @@ def plain_words(text: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.filter(tokens(text, stop), lambda t: t.rlike("^([A-Za-z]+|[0-9]+)$"))
 
 
+#: The words that the analyser of English text leaves out.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
+
 ANALYZERS = {
     "standard": words,
+    "standard_stopwords": lambda t: F.filter(words(t), lambda w: ~w.isin(*STOP_WORDS)),
     "shingle": word_shingles,
     "2gram": lambda t: F.flatten(F.transform(words(t), lambda w: substrings(w, 2))),
     "3gram": lambda t: F.flatten(F.transform(words(t), lambda w: substrings(w, 3))),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import augment as A
 from kinloom.functions import similarity as S
 from kinloom.functions import text as X
-from kinloom.operators import attributes, blocking, clustering, evaluation, graph, progressive, simjoin
+from kinloom.operators import attributes, blocking, clustering, evaluation, graph, progressive, simjoin, statistics, textindex
 from kinloom.plans.lineage import cut
 from kinloom.sources import loaders
 
@@ -522,4 +522,235 @@ def neighbourhood_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(progressive.neighbourhood_schedule(keys, 5))
 
 
+# more of the graph and its measures ------------------------------------------------------------------------------------
+
+
+def _wnp(name: str, mode: str, sql: str, **options) -> None:
+    QUERIES[name] = lambda spark, sf_dir: graph.wnp(js_edges(spark, sf_dir), mode, **options)
+    SQL[name] = f"{JS}, {TH} SELECT w.* FROM w JOIN t x ON p1 = x.n JOIN t y ON p2 = y.n WHERE {sql}"
+
+
+# means of rounded weights may differ in the last place, so the limits are not put to the test of equality
+_wnp("wnp_chi2", "or", "weight >= sqrt(x.h * x.h * 4 / 4 + y.h * y.h) / 2", threshold="max", chi2_divider=2.0)
+
+
+def _purged(name: str, smooth: float) -> None:
+    QUERIES[name] = lambda spark, sf_dir: blocking.purge_level(token_blocks(spark, sf_dir), smooth)
+    SQL[name] = f"WITH {MEMBERS}, {BLOCKS}, {LEVEL.replace('1.0 * cc', f'{smooth} * cc')} SELECT level FROM lim"
+
+
+_purged("purge_level_1049", 1.049)
+_purged("purge_level_1045", 1.045)
+
+
+@query(f"WITH {MEMBERS}, {BLOCKS}, {LEVEL}, {FILTERED} SELECT profile_id, block_key FROM rk WHERE rn <= greatest(1, CAST(round_even(n * 0.8::DOUBLE, 0) AS INT))")
+def filtered_blocks_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each profile's smallest blocks, four fifths of them and no more."""
+    membership = blocking.blocks_by_key(profiles(spark, sf_dir), X.tokens(F.col("text")))
+    purged = blocking.purge(membership, blocking.block_stats(membership))
+    return blocking.filter_blocks_top(purged).select("profile_id", "block_key")
+
+
+@query(f"{FEATURES} SELECT p1, p2, cfibf, js FROM ft")
+def feature_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features of every edge; Spark leaves out what the others need."""
+    own = members(spark, sf_dir)
+    return rounded(graph.features(graph.pairs(own), own).select("p1", "p2", "cfibf", "js"))
+
+
+@query(f"{ALIKE}, x AS (SELECT (SELECT count(*) FROM fd JOIN tr USING (p1, p2)) AS h, (SELECT count(*) FROM fd) AS kp, (SELECT count(*) FROM tr) AS al, (SELECT count(*) FROM documents) AS n) SELECT round(coalesce(h / nullif(al, 0), 0) + 1e-10, 6) AS recall, round(coalesce(h / nullif(kp, 0), 0) + 1e-10, 6) AS precision, round(kp / (n * n) + 1e-10, 6) AS cssr, kp AS candidates FROM x")
+def candidate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of weight 0.3 or more against those of 0.5 or more, and their share of all."""
+    edges, docs = js_edges(spark, sf_dir), profiles(spark, sf_dir)
+    return rounded(statistics.candidate_statistics(edges.where("weight >= 0.3"), edges.where("weight >= 0.5"), docs, docs))
+
+
+@query(f"WITH {SCORED}, d AS (SELECT *, ('0x' || substr(md5('1:' || p1 || ':' || p2), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s) SELECT p1, p2, u < 0.1::DOUBLE AS train FROM d")
+def split_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored edges, a tenth of them for training."""
+    return statistics.split_train_test(scored_edges(spark, sf_dir), 1, 10).select("p1", "p2", "train")
+
+
+@query(f"WITH {SCORED}, o AS (SELECT *, row_number() OVER (ORDER BY p_match DESC, p1, p2) AS rn, count(*) OVER () AS n FROM s) SELECT p1, p2, CAST(rn <= 100 AS INT) AS label FROM o WHERE rn <= 100 OR rn > n - 300")
+def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 best and the 300 worst scored edges as labelled ones."""
+    return statistics.pseudo_labels(scored_edges(spark, sf_dir), 100, 300, "p_match").select("p1", "p2", "label")
+
+
+@query(f"WITH {SCORED}, c AS (SELECT count(*) FILTER (WHERE pred = 1 AND is_match = 1) AS a, count(*) FILTER (WHERE pred = 0 AND is_match = 0) AS b, count(*) FILTER (WHERE pred = 1 AND is_match = 0) AS c, count(*) FILTER (WHERE pred = 0 AND is_match = 1) AS d FROM s) SELECT round(a / (a + d) + 1e-10, 6) AS tpr, round(b / (b + c) + 1e-10, 6) AS tnr, round(c / (b + c) + 1e-10, 6) AS fpr, round(d / (a + d) + 1e-10, 6) AS fnr FROM c")
+def label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the predicted labels of scored edges."""
+    return rounded(statistics.label_rates(scored_edges(spark, sf_dir), "pred"))
+
+
+@query("SELECT o_custkey AS cluster_id, sum(n)::BIGINT AS size, round(max(n) / sum(n) + 1e-10, 6) AS purity FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+def cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the commonest status among each customer's orders."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("profile_id"), F.col("o_custkey").alias("cluster_id"), F.col("o_orderstatus").alias("kind"))
+    return rounded(statistics.purity(orders.select("profile_id", "cluster_id"), orders.select("profile_id", "kind")))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity) + 1e-10, 6) AS l_quantity, round(avg(l_discount) + 1e-10, 6) AS l_discount FROM lineitem GROUP BY 1, 2")
+def group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of lines by flag and status."""
+    return statistics.group_means(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount"), ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT n_nationkey AS k, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def natural_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions joined on the column that both have."""
+    left = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name", F.col("n_regionkey").alias("r"))
+    return statistics.natural_merge(left, table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), "r_name")).drop("r")
+
+
+@query(f"WITH t AS (SELECT item_id AS p1, {TOKENS} AS l FROM benchmark) SELECT p1, unnest(l) AS p2, unnest(range(1, len(l) + 1))::INT AS rank FROM t")
+def pairs_of_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists as ranked pairs: each benchmark item's words in order."""
+    return statistics.pairs_of_lists(table(spark, sf_dir, "benchmark").select("item_id", X.words(F.col("text")).alias("l")), "item_id", "l")
+
+
+@query("SELECT o_orderpriority AS dataset, round(count(*) / (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') * (SELECT avg(o_totalprice) FROM orders WHERE o_orderpriority = '1-URGENT') / avg(o_totalprice) + 1e-10, 6) AS speed_up FROM orders GROUP BY 1")
+def speed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth of orders over growth of their mean price, by priority."""
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("dataset")).agg(F.count("*").alias("comparisons"), F.avg("o_totalprice").alias("rt"))
+    return rounded(statistics.speed_up(runs, "1-URGENT"))
+
+
+@query("SELECT p_partkey AS id, lower(trim(regexp_replace(concat_ws(' ', trim(p_name), trim(p_brand), trim(p_type), p_size), ' +', ' ', 'g'))) AS text FROM part")
+def one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of parts as one text."""
+    return statistics.one_text(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type", "p_size"], lower=True)
+
+
+@query("SELECT r_regionkey AS rkey, r_name AS rname FROM region")
+def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column names without marks."""
+    return statistics.plain_names(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r.key"), F.col("r_name").alias("r:name")))
+
+
+_POSITIVE = f"b AS (SELECT item_id AS id, {TOKENS} AS w FROM benchmark WHERE len({TOKENS}) > 0), n AS (SELECT id, w, unnest(range(1, 6)) AS copy FROM b), k AS (SELECT id, copy, w, list_transform(list_filter(range(0, len(w)), lambda i: ('0x' || substr(md5('1:' || id || ':' || copy || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= 0.4::DOUBLE), lambda i: w[i + 1]) AS o FROM n)"
+
+
+@query(f"WITH {_POSITIVE} SELECT id, copy::INT AS copy, array_to_string(w, ' ') AS text, array_to_string(CASE WHEN len(o) = 0 THEN w ELSE o END, ' ') AS other, 1 AS label FROM k")
+def synthetic_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item with five copies of it that lack some words."""
+    return statistics.synthetic_pairs(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), others=0)
+
+
+@query()
+def synthetic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same and a random other item as a negative."""
+    return statistics.synthetic_pairs(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+
+
+@query(f"WITH c AS (SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM benchmark) GROUP BY 1) SELECT token, round(0.001::DOUBLE / (0.001::DOUBLE + n / (SELECT sum(n) FROM c)::DOUBLE) + 1e-10, 6) AS weight FROM c")
+def sif_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of benchmark words by their share."""
+    return rounded(statistics.sif_weights(simjoin.postings(table(spark, sf_dir, "benchmark"), X.words(F.col("text")), "item_id")))
+
+
+_UNIT = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)"
+
+
+@query(f"WITH {_UNIT}, s AS (SELECT a.id AS query_id, b.id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS score FROM u a, u b WHERE a.id % 20 = 0) SELECT query_id, id, round(score + 1e-10, 6) AS score FROM s WHERE score >= 0.9")
+def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with a cosine of 0.9 or more to every twentieth one."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rounded(simjoin.cosine_threshold_join(rows, rows.where("vec_id % 20 = 0"), 0.9, "vec_id", "embedding"))
+
+
+@query(f"WITH {_UNIT}, s AS (SELECT a.id AS query_id, b.id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS score FROM u a, u b) SELECT query_id, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each, itself included."""
+    return simjoin.knn_graph(table(spark, sf_dir, "embeddings"), 5, "vec_id", "embedding").select("query_id", "id", "rank")
+
+
+_BM25 = f"""{POST}, l AS (SELECT id, sum(tf) AS dl FROM p GROUP BY 1), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM l), d AS (SELECT token, count(*)::DOUBLE AS df FROM p GROUP BY 1),
+sc AS (SELECT q.id AS query_id, p.id, round(sum(ln((n + 0.5 - df) / (df + 0.5) + 1) * tf2 / (tf2 + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score FROM q JOIN (SELECT id, token, tf::DOUBLE AS tf2 FROM p) p USING (token) JOIN d USING (token) JOIN l ON l.id = p.id, st GROUP BY 1, 2),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)"""
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, rank::INT AS rank, round(score + 1e-10, 6) AS score FROM rr WHERE rank <= 5")
+def bm25_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents by BM25 of each benchmark item, in order."""
+    return rounded(simjoin.bm25_join(*_postings(spark, sf_dir), 5)).select("query_id", "id", "rank", "score")
+
+
+@query(f"WITH {_BM25}, t AS (SELECT query_id, min(id) AS id FROM rr WHERE rank <= 3 GROUP BY 1), h AS (SELECT rank, count(*) AS n, count(t.id) AS h FROM rr LEFT JOIN t USING (query_id, id) WHERE rank <= 5 GROUP BY 1) SELECT rank::INT AS k, sum(n) OVER w AS candidates, sum(h) OVER w AS hits, round(sum(h) OVER w / (SELECT count(*) FROM t) + 1e-10, 6) AS recall FROM h WINDOW w AS (ORDER BY rank)")
+def recall_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the five best, true being the smallest id among each item's three best."""
+    ranked = cut(simjoin.bm25_join(*_postings(spark, sf_dir), 5))
+    return rounded(statistics.recall_at(ranked, ranked.where("rank <= 3").groupBy("query_id").agg(F.min("id").alias("id")), 5))
+
+
+# the text index: parts by name and type, asked by every fiftieth part ---------------------------------------------------
+
+PARTS = textindex.IndexConfig().add("p_name", ("standard",)).add("both", ("3gram",), ("p_name", "p_type"))
+_F = f"f AS (SELECT p_partkey AS id, 'p_name' AS field, unnest({TOKENS.replace('text', 'p_name')}) AS token FROM part UNION ALL SELECT id, 'both', unnest(flatten(list_transform(w, lambda t: {_PLAIN}))) FROM (SELECT p_partkey AS id, {TOKENS.replace('text', 'b')} AS w FROM (SELECT p_partkey, p_name || ' ' || p_type AS b FROM part)))"
+_INDEX = f"""WITH {_F}, p AS (SELECT id, field, token, count(*)::DOUBLE AS tf FROM f GROUP BY ALL), l AS (SELECT id, field, sum(tf) AS dl FROM p GROUP BY ALL), st AS (SELECT field, count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM l GROUP BY 1), d AS (SELECT field, token, count(*)::DOUBLE AS df FROM p GROUP BY ALL),
+c AS (SELECT q.id AS query_id, p.id, field, sum(ln((n + 0.5 - df) / (df + 0.5) + 1) * p.tf / (p.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl)) * wt) AS score FROM (SELECT id, field, token, tf AS qtf FROM p WHERE id % 50 = 0) q JOIN p USING (field, token) JOIN d USING (field, token) JOIN l ON l.id = p.id AND l.field = p.field JOIN st USING (field), LATERAL (SELECT WEIGHT AS wt) GROUP BY q.id, p.id, field),
+s AS (SELECT query_id, id, round(sum(CASE field WHEN 'p_name' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * score), 9) AS score, count(*) FILTER (WHERE field = 'p_name') AS hits FROM c GROUP BY 1, 2)"""
+
+
+def _parts_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    index = cut(textindex.analysed(table(spark, sf_dir, "part"), "p_partkey", PARTS))
+    return index, index.where("id % 50 = 0")
+
+
+NAME, BOTH = ("p_name", "p_name", "standard"), ("both", "both", "3gram")
+SPEC = textindex.full_spec(PARTS).with_boosts({NAME: 2.0})
+
+
+@query(_INDEX.replace("WEIGHT", "1.0::DOUBLE") + " SELECT query_id, id, round(score + 1e-10, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best parts over two fields, names counting double."""
+    return rounded(textindex.search(*_parts_index(spark, sf_dir), SPEC, 5))
+
+
+@query(_INDEX.replace("WEIGHT", "(ln(qtf) + 1) * (ln((n + 1) / (df + 1)) + 1)") + " SELECT query_id, id, round(score + 1e-10, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
+def index_search_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``index_search`` with weighted query terms."""
+    return rounded(textindex.search(*_parts_index(spark, sf_dir), SPEC, 5, weighted=True))
+
+
+@query(_INDEX.replace("WEIGHT", "1.0::DOUBLE") + " SELECT query_id, count(*) AS n, round(sum(score) + 1e-10, 4) AS total FROM s WHERE hits > 0 GROUP BY 1")
+def index_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that share a word of the name with the query, and the sum of their scores."""
+    spec = textindex.QuerySpec(SPEC.clauses, SPEC.boosts, frozenset({NAME}))
+    return textindex.scored(*_parts_index(spark, sf_dir), spec).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score") + 1e-10, 4).alias("total"))
+
+
+@query(_INDEX.replace("WEIGHT", "1.0::DOUBLE") + ", w AS (SELECT p_partkey - p_partkey % 50 AS query_id, p_partkey AS id FROM part WHERE p_partkey >= 50) SELECT w.query_id, w.id, round(coalesce(a.score, 0) + 1e-10, 6) AS name_score, round(coalesce(b.score, 0) + 1e-10, 6) AS both_score FROM w LEFT JOIN c a ON a.query_id = w.query_id AND a.id = w.id AND a.field = 'p_name' LEFT JOIN c b ON b.query_id = w.query_id AND b.id = w.id AND b.field = 'both'")
+def index_score_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by clause of each part and the last queried one before it."""
+    pairs = table(spark, sf_dir, "part").where("p_partkey >= 50").select((F.col("p_partkey") - F.col("p_partkey") % 50).alias("query_id"), F.col("p_partkey").alias("id"))
+    index, queries = _parts_index(spark, sf_dir)
+    return rounded(textindex.score_docs(index, queries, pairs, SPEC).select("query_id", "id", F.col("`p_name.p_name.standard`").alias("name_score"), F.col("`both.both.3gram`").alias("both_score")))
+
+
+@query(_INDEX.replace("WEIGHT", "1.0::DOUBLE") + ", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5), g AS (SELECT query_id, sum(score) - (max(score) + min(score)) / 2 AS auc, max(score) AS m, count(*) AS k, max(score) FILTER (WHERE rank = 2) AS b FROM r GROUP BY 1) SELECT query_id, round(auc + 1e-10, 6) AS auc, round(coalesce(auc / nullif(m * (k - 1), 0), 0) + 1e-10, 6) AS norm_auc, round(coalesce(b / m, 0) + 1e-10, 6) AS ratio FROM g")
+def index_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How fast the five best scores of each query fall."""
+    return rounded(textindex.normalised_auc(textindex.search(*_parts_index(spark, sf_dir), SPEC, 5)))
+
+
+@query()
+def index_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query specs in the order of their scores."""
+    index, queries = _parts_index(spark, sf_dir)
+    single = [textindex.QuerySpec(frozenset({c})) for c in sorted(SPEC.clauses)]
+    ranked = textindex.rank_specs(index, queries, single, 5)
+    return spark.createDataFrame([(i, sorted(".".join(c) for c in s.clauses), float(v)) for i, (s, v) in enumerate(ranked, 1)], "place int, clauses array<string>, value double")
+
+
+@query("SELECT count(*) AS n FROM part")
+def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the index."""
+    return textindex.num_indexed(_parts_index(spark, sf_dir)[0])
+
+
+for _n in (2, 4):
+    _tokenised(f"{_n}gram_analyser", X.ANALYZERS[f"{_n}gram"], f"flatten(list_transform({TOKENS}, lambda t: CASE WHEN len(t) < {_n} THEN [t] ELSE list_transform(range(1, len(t) - {_n} + 2), lambda i: substr(t, i, {_n})) END))", "part", "p_partkey", "p_name")
+_tokenised("stop_words", X.ANALYZERS["standard_stopwords"], f"list_filter({TOKENS}, lambda t: t NOT IN ({', '.join(map(repr, X.STOP_WORDS))}))", "benchmark", "item_id")
+
 HEADLINE = ("token_blocks", "cleaned_blocks", "pairs_cbs", "wep", "edge_features", "set_join", "cosine_top", "connected_clusters")
