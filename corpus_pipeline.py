@@ -35,7 +35,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("secret_scan", secret_scan), ("packed", packed)]
 
-#: No stage but the first can be said in SQL; tests hold each against a brute-force version.
+#: The stages after the first cannot be said in SQL; tests hold the operator of each against a brute-force version.
 ORACLE_SQL = None
 
 
