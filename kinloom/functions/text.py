@@ -88,6 +88,14 @@ def keyed_tokens(attributes: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(attributes, each)))
 
 
+def keyed_ngrams(attributes: Column, size: int = 3, exclude: tuple[str, ...] = ()) -> Column:
+    """Distinct ``key_gram`` of a bag of attributes: n-grams of whole values, lower-cased, spaces as underscores."""
+    value = lambda a: F.replace(F.trim(F.lower(a["value"])), F.lit(" "), F.lit("_"))
+    held = F.filter(attributes, lambda a: F.coalesce(F.trim(a["value"]) != "", F.lit(False)) & ~a["key"].isin(*exclude))
+    each = lambda a: F.transform(substrings(value(a), size), lambda g: F.concat(a["key"], F.lit("_"), g))
+    return F.array_distinct(F.flatten(F.transform(held, each)))
+
+
 def edge_ngrams(text: Column, least: int = 3, most: int = 6) -> Column:
     """Leading substrings of ``least`` to ``most`` characters of each token."""
     of = lambda t: F.transform(F.sequence(F.lit(least), F.least(F.lit(most), F.greatest(F.length(t), F.lit(least)))), lambda n: t.substr(F.lit(1), n))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions import text as X
-from kinloom.operators.blocking import bands
+from kinloom.operators.blocking import bands, block_stats, lsh_blocks
 from kinloom.operators.components import connected_components
 
 
@@ -64,6 +64,28 @@ def cluster_attributes(profiles: DataFrame, hashes: int = 128, threshold: float
     return named.select("source_id", "key", "cluster_id", (F.avg("entropy").over(Window.partitionBy("cluster_id")) if entropy else F.lit(1.0)).alias("entropy"))
 
 
+def blocked_profiles(profiles: DataFrame, start: float = 1.0, step: float = 0.05, hashes: int = 128, clean: bool = True) -> tuple[DataFrame, float]:
+    """The profiles in a MinHash block that makes a comparison, at the first threshold from ``start`` down that has one.
+
+    Gives that threshold too; where none does, it is the last one tried and no profile is left.
+    """
+    held = F.array_distinct(F.flatten(F.transform("attributes", lambda a: X.words(a["value"]))))
+    tries = max(1, round(start / step))
+    for turn in range(tries):
+        threshold = start - turn * step
+        membership = lsh_blocks(profiles, held, hashes, threshold)
+        blocks = block_stats(membership, clean)
+        if turn == tries - 1 or not blocks.isEmpty():
+            break
+    ids = membership.join(blocks, "block_key", "left_semi").select("profile_id").distinct()
+    return profiles.join(ids, "profile_id", "left_semi"), threshold
+
+
+def cluster_attributes_in_two_steps(profiles: DataFrame, hashes: int = 128, threshold: float = 0.3, start: float = 1.0, step: float = 0.05, factor: float = 1.0, exclude: tuple[str, ...] = (), clean: bool = True, entropy: bool = False) -> DataFrame:
+    """:func:`cluster_attributes` of those profiles alone that :func:`blocked_profiles` keeps: likely matches show which attributes go together."""
+    return cluster_attributes(blocked_profiles(profiles, start, step, clean=clean)[0], hashes, threshold, factor, exclude, clean, entropy)
+
+
 def column_scores(df: DataFrame, columns: list[str], id_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``name, null_rate, mean_words, mean_score``: how well each column's values would find themselves by BM25.
 

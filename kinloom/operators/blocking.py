@@ -86,6 +86,25 @@ def lsh_blocks(profiles: DataFrame, tokens: Column, hashes: int = 64, threshold:
     return blocks_by_key(signed, keys)
 
 
+def bounded_blocks(membership: DataFrame, most: int | None = None, least: int = 2) -> DataFrame:
+    """Membership in the blocks of ``least`` to ``most`` profiles; no upper bound unless one is asked for."""
+    sizes = membership.groupBy("block_key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return membership.join(sizes.where(F.col("n") <= most) if most is not None else sizes, "block_key", "left_semi")
+
+
+def block_entropy(membership: DataFrame, per_profile: bool = False) -> DataFrame:
+    """``block_key, entropy``: Shannon entropy in nats of the blocks that a block's profiles stand in, over their number.
+
+    With ``per_profile`` over the block's size too. A profile's blocks meet pairwise, so clean the blocks beforehand.
+    """
+    own = membership.select("block_key", "profile_id")
+    met = own.join(own.withColumnRenamed("block_key", "other"), "profile_id").groupBy("block_key", "other").agg(F.count("*").cast("double").alias("n"))
+    # a block meets itself once for each of its profiles
+    sums = met.groupBy("block_key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.max(F.when(F.col("block_key") == F.col("other"), F.col("n"))).alias("size"))
+    entropy = (F.log("all") - F.col("nlogn") / F.col("all")) / F.col("all")
+    return sums.select("block_key", (entropy / F.col("size") if per_profile else entropy).alias("entropy"))
+
+
 def purge_level(blocks: DataFrame, smooth: float = 1.0) -> DataFrame:
     """One row ``level``: blocks of more comparisons are purged (null where all blocks have the same number)."""
     levels = blocks.groupBy("comparisons").agg(F.sum("comparisons").alias("c"), F.sum("size").alias("s"))
@@ -135,7 +154,17 @@ def cluster_blocks(profiles: DataFrame, clusters: DataFrame, words: Callable[[Co
     broadcasts it where it is small.
     """
     bag = profiles.select("profile_id", "source_id", F.explode("attributes").alias("a")).select("profile_id", "source_id", "a.key", F.explode(words(F.col("a.value"))).alias("token"))
+    return _placed_in(bag, clusters, drop_default).select("block_key", "profile_id", "source_id", F.coalesce("entropy", F.lit(default_entropy)).alias("entropy")).distinct()
+
+
+def _placed_in(bag: DataFrame, clusters: DataFrame, drop_default: bool) -> DataFrame:
     placed = bag.join(clusters, [c for c in ("source_id", "key") if c in clusters.columns], "left")
     placed = placed.where("cluster_id >= 0") if drop_default else placed
-    key = F.concat_ws("_", "token", F.coalesce("cluster_id", F.lit(-1)).cast("string"))
-    return placed.select(key.alias("block_key"), "profile_id", "source_id", F.coalesce("entropy", F.lit(default_entropy)).alias("entropy")).distinct()
+    return placed.withColumn("block_key", F.concat_ws("_", "token", F.coalesce("cluster_id", F.lit(-1)).cast("string")))
+
+
+def cluster_block_attributes(profiles: DataFrame, clusters: DataFrame, words: Callable[[Column], Column], drop_default: bool = False) -> DataFrame:
+    """``block_key, profile_id, attributes``: by which attributes (``source_key``, sorted) a profile is in a block of :func:`cluster_blocks`."""
+    bag = profiles.select("profile_id", "source_id", F.explode("attributes").alias("a")).select("profile_id", "source_id", "a.key", F.explode(words(F.col("a.value"))).alias("token"))
+    named = F.concat_ws("_", F.col("source_id").cast("string"), "key")
+    return _placed_in(bag, clusters, drop_default).groupBy("block_key", "profile_id").agg(F.array_sort(F.collect_set(named)).alias("attributes"))

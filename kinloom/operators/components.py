@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.plans.lineage import cut
+from kinloom.plans.lineage import written
 
 
 def connected_components(edges: DataFrame, a: str = "p1", b: str = "p2", max_rounds: int = 60) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str = "p1", b: str = "p2", max_rou
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
-    now = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _fingerprint(now)
     for _ in range(max_rounds):
         if state[0] == 0:
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, a: str = "p1", b: str = "p2", max_rou
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        now = written(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _fingerprint(now)
         if state == before:
             break

@@ -9,23 +9,31 @@ from kinloom.operators.blocking import global_position
 from kinloom.operators.graph import both_ways
 
 
-def profile_schedule(edges: DataFrame, k: int = 20, batch: int = 40) -> DataFrame:
+def profile_schedule(edges: DataFrame, k: int = 20, batch: int = 40, seed: int | None = None) -> DataFrame:
     """``phase, batch, weight, p1, p2``: first each profile's best later one, then top ``k`` by profile likelihood.
 
     Profiles rank by the mean weight of their edges to later ones; a batch of profiles emits its edges by weight,
-    without pairs of the first phase and of profiles visited before.
+    without pairs of the first phase and of profiles visited before. Edges of one weight follow the other end's id, or
+    an order that ``seed`` draws.
     """
-    best = F.row_number().over(Window.partitionBy("p1").orderBy(F.desc("weight"), "p2"))
+    ties = lambda c: [F.col(c)] if seed is None else [F.xxhash64(F.lit(seed), "p1", "p2"), F.col(c)]
+    best = F.row_number().over(Window.partitionBy("p1").orderBy(F.desc("weight"), *ties("p2")))
     first = edges.withColumn("rn", best).where("rn = 1").select(F.lit(1).alias("phase"), F.lit(0).cast("long").alias("batch"), "weight", "p1", "p2")
     means = edges.groupBy(F.col("p1").alias("node")).agg(F.round(F.avg("weight"), 9).alias("mean"))
     rank = global_position(means, [F.desc("mean"), F.col("node")]).select("node", (F.col("position") + 1).alias("visit"))
     near = both_ways(edges).join(rank, "node").join(rank.select(F.col("node").alias("other"), F.col("visit").alias("seen")), "other", "left")
-    top = near.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), "other"))).where(F.col("rn") <= k)
+    top = near.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), *ties("other")))).where(F.col("rn") <= k)
     fresh = top.where("seen is null or seen > visit").join(first.select("p1", "p2"), ["p1", "p2"], "left_anti")
     second = fresh.select(F.lit(2).alias("phase"), F.expr(f"(visit - 1) div {batch}").alias("batch"), "weight", "p1", "p2")
     return first.unionByName(second)
 
 
+def within_budget(schedule: DataFrame, budget: int) -> DataFrame:
+    """The first ``budget`` comparisons of a schedule, with ``position`` from 1."""
+    placed = global_position(schedule, ["phase", "batch", F.desc("weight"), F.col("p1"), F.col("p2")])
+    return placed.where(F.col("position") < budget).withColumn("position", F.col("position") + 1)
+
+
 def neighbourhood_schedule(keys: DataFrame, window: int) -> DataFrame:
     """``p1, p2, weight``: profiles within ``window`` places of the sorted keys, by common / (places - common)."""
     placed = global_position(keys, ["block_key", "profile_id"])

@@ -109,6 +109,42 @@ def label_rates(labelled: DataFrame, label: str = "label", truth: str = "is_matc
     return one.select(_ratio(n["n11"], yes).alias("tpr"), _ratio(n["n00"], no).alias("tnr"), _ratio(n["n10"], no).alias("fpr"), _ratio(n["n01"], yes).alias("fnr"))
 
 
+def in_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """Rows with ``place``, the column's value's place in ``order`` from 1; others come last, with one place more."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(column)).cast("int") if order else F.lit(0)
+    return df.withColumn("place", F.when(place > 0, place).otherwise(len(order) + 1))
+
+
+def distinct_by_start(rows: DataFrame, id_col: str, text: str, kind: str, most: int = 64) -> DataFrame:
+    """``id, text, kind`` of one row for each start of ``most`` space-separated words: that of the smallest id. Null texts are left out."""
+    start = F.substring_index(F.col(text), " ", most)
+    return rows.where(F.col(text).isNotNull()).groupBy(start.alias("text")).agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(kind).alias("kind"))).alias("x")).select("x.id", "text", "x.kind")
+
+
+def labelled_slices(pairs: DataFrame, kinds: DataFrame, ends: dict[str, int], seed: int = 1) -> DataFrame:
+    """``p1, p2, label, part``: ``pairs (p1, p2)`` labelled by whether both have one kind, dealt to parts in drawn order.
+
+    A part takes the places up to its end, after the part before; what lies beyond the last end is left out, as are
+    pairs of a row with itself or without a kind.
+    """
+    of = lambda p: kinds.select(F.col("id").alias(p), F.col("kind").alias(f"kind_{p}"))
+    marked = pairs.where("p1 <> p2").select("p1", "p2").distinct().join(of("p1"), "p1").join(of("p2"), "p2").select("p1", "p2", (F.col("kind_p1") == F.col("kind_p2")).cast("int").alias("label")).where("label is not null")
+    placed = global_position(marked, [draw(seed, "p1", "p2"), F.col("p1"), F.col("p2")])
+    part = F.coalesce(*(F.when(F.col("position") < end, F.lit(name)) for name, end in sorted(ends.items(), key=lambda x: x[1])))
+    return placed.withColumn("part", part).where("part is not null").drop("position")
+
+
+def token_offsets(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``id, token, start, end``: the lower-cased words of each text and their places in it, in characters from 0.
+
+    Ids are of one row each. Positions are sums of the lengths of the pieces before, so a long text costs in proportion.
+    """
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"), F.lit(1))
+    each = rows.select(F.col(id_col).alias("id"), F.posexplode(pieces).alias("at", "piece"))
+    upto = F.sum(F.length("piece")).over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("end", upto).where(F.col("piece").rlike(r"[\p{L}\p{N}_]")).select("id", F.lower("piece").alias("token"), (F.col("end") - F.length("piece")).alias("start"), "end")
+
+
 def purity(clusters: DataFrame, kinds: DataFrame) -> DataFrame:
     """``cluster_id, size, purity``: the share of each cluster's commonest kind; ``kinds (profile_id, kind)``."""
     counted = clusters.join(kinds, "profile_id").groupBy("cluster_id", "kind").agg(F.count("*").alias("n"))

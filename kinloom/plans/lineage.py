@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     gc.collect()
     done.sparkSession.sparkContext._jvm.System.gc()
     return done
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, but through a Parquet table in that folder, for what a loop joins with itself round by round.
+
+    A checkpoint keeps the size that the planner guessed for its plan, and a join's guess is the product of its sides,
+    so over some ten rounds the guesses alone have millions of digits. A table has the size of its files.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    schema, spark = df.schema, df.sparkSession
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(folder)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import augment as A
 from kinloom.functions import similarity as S
 from kinloom.functions import text as X
-from kinloom.operators import attributes, blocking, clustering, evaluation, graph, progressive, simjoin, statistics, textindex
+from kinloom.operators import attributes, blocking, clustering, communities, evaluation, graph, learning, progressive, simjoin, statistics, textindex
 from kinloom.plans.lineage import cut
 from kinloom.sources import loaders
 
@@ -753,4 +753,179 @@ for _n in (2, 4):
     _tokenised(f"{_n}gram_analyser", X.ANALYZERS[f"{_n}gram"], f"flatten(list_transform({TOKENS}, lambda t: CASE WHEN len(t) < {_n} THEN [t] ELSE list_transform(range(1, len(t) - {_n} + 2), lambda i: substr(t, i, {_n})) END))", "part", "p_partkey", "p_name")
 _tokenised("stop_words", X.ANALYZERS["standard_stopwords"], f"list_filter({TOKENS}, lambda t: t NOT IN ({', '.join(map(repr, X.STOP_WORDS))}))", "benchmark", "item_id")
 
+# keys, blocks and schedules with more to say ----------------------------------------------------------------------------
+
+_BAG = "bag AS (SELECT p_partkey AS id, key, value FROM (SELECT p_partkey, p_name, p_brand, p_type FROM part) UNPIVOT (value FOR key IN (p_name, p_brand, p_type)))"
+
+
+def _part_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaders.as_profiles(table(spark, sf_dir, "part"), "p_partkey", keep=tuple(PART_COLUMNS))
+
+
+@query(f"WITH {_BAG}, v AS (SELECT id, key, replace(trim(lower(value)), ' ', '_') AS v FROM bag WHERE trim(value) <> ''), g AS (SELECT DISTINCT id, key || '_' || unnest(CASE WHEN len(v) < 3 THEN [v] ELSE list_transform(range(1, len(v) - 1), lambda i: substr(v, i, 3)) END) AS token FROM v) SELECT token, count(*) AS n FROM g GROUP BY 1")
+def keyed_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parts have each 3-gram of each of three columns."""
+    return _part_bags(spark, sf_dir).select(F.explode(X.keyed_ngrams(F.col("attributes"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_BAG}, t AS (SELECT id, key, unnest({TOKENS.replace('text', 'value')}) AS token FROM bag)
+SELECT token || '_' || CASE WHEN key = 'p_name' THEN 0 WHEN key = 'p_type' THEN 1 ELSE -1 END AS block_key, id::VARCHAR AS original_id, array_to_string(list_sort(list_distinct(list('0_' || key))), ',') AS attributes FROM t GROUP BY 1, 2""")
+def cluster_block_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By which columns a part is in each block of two clusters of columns and of the rest."""
+    bags = _part_bags(spark, sf_dir)
+    clusters = spark.createDataFrame([("p_name", 0, 1.0), ("p_type", 1, 1.0)], "key string, cluster_id int, entropy double")
+    found = blocking.cluster_block_attributes(bags, clusters, X.words).join(bags.select("profile_id", "original_id"), "profile_id")
+    return found.select("block_key", "original_id", F.array_join("attributes", ",").alias("attributes"))
+
+
+@query(f"WITH {MEMBERS}, n AS (SELECT block_key FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100) SELECT m.* FROM m JOIN n USING (block_key)")
+def bounded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token blocks of 2 to 100 documents."""
+    return blocking.bounded_blocks(blocking.blocks_by_key(profiles(spark, sf_dir), X.tokens(F.col("text"))), 100).select("profile_id", "block_key")
+
+
+def _block_entropy(name: str, per_profile: bool) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("profile_id"), F.lit(0).alias("source_id"), "p_name")
+        return blocking.block_entropy(cut(blocking.blocks_by_key(rows, X.tokens(F.col("p_name")))), per_profile).withColumn("entropy", F.round(F.col("entropy") + 1e-13, 9))
+
+    QUERIES[name] = run
+    SQL[name] = f"""WITH m AS (SELECT DISTINCT p_partkey AS id, unnest({TOKENS.replace('text', 'p_name')}) AS block_key FROM part), c AS (SELECT a.block_key, b.block_key AS other, count(*)::DOUBLE AS n FROM m a JOIN m b USING (id) GROUP BY 1, 2),
+z AS (SELECT block_key, count(*)::DOUBLE AS size FROM m GROUP BY 1), s AS (SELECT block_key, sum(n) AS a, sum(n * ln(n)) AS l FROM c GROUP BY 1) SELECT block_key, round((ln(a) - l / a) / a{" / size" if per_profile else ""} + 1e-13, 9) AS entropy FROM s JOIN z USING (block_key)"""
+
+
+_block_entropy("block_entropy", False)
+_block_entropy("block_entropy_per_profile", True)
+
+
+@query(r"""WITH p AS (SELECT item_id AS id, regexp_extract_all(text, '([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)', 1) AS l FROM benchmark), u AS (SELECT id, unnest(l) AS piece, unnest(range(0, len(l))) AS place FROM p),
+o AS (SELECT id, piece, sum(len(piece)) OVER (PARTITION BY id ORDER BY place) AS e FROM u) SELECT id, lower(piece) AS token, (e - len(piece))::BIGINT AS "start", e::BIGINT AS "end" FROM o WHERE regexp_matches(piece, '[\p{L}\p{N}_]')""")
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of benchmark items and their places."""
+    return statistics.token_offsets(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query(f"""{SQL["progressive_schedule"].replace("SELECT * FROM f1 UNION ALL SELECT * FROM f2", "")}, al AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2) SELECT row_number() OVER (ORDER BY phase, batch, weight DESC, p1, p2) AS position, phase, batch, weight, p1, p2 FROM al QUALIFY position <= 500""")
+def schedule_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 comparisons of the progressive order."""
+    return progressive.within_budget(progressive.profile_schedule(js_edges(spark, sf_dir)), 500)
+
+
+# runs, loaders and training tables ---------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderpriority, count(*) AS n, CASE o_orderpriority WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END AS place FROM orders GROUP BY 1")
+def in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities and their places in a given order."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return statistics.in_order(counts, "o_orderpriority", ["2-HIGH", "1-URGENT"])
+
+
+_CORPUS = "k AS (SELECT text, min(id) AS id, arg_min(kind, id) AS kind FROM (SELECT doc_id AS id, source AS kind, array_to_string(string_split(text, ' ')[1:64], ' ') AS text FROM documents WHERE text IS NOT NULL) GROUP BY 1)"
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.distinct_by_start(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+@query(f"WITH {_CORPUS} SELECT id, text, kind FROM k")
+def distinct_by_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document for each start of 64 words."""
+    return _corpus(spark, sf_dir)
+
+
+@query(f"""WITH {_CORPUS}, l AS (SELECT a.id AS p1, b.id AS p2, CAST(a.kind = b.kind AS INT) AS label FROM k a JOIN k b ON b.id IN (a.id + 1, a.id + 7) WHERE a.kind IS NOT NULL AND b.kind IS NOT NULL),
+o AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('1:' || p1 || ':' || p2), 1, 8))::BIGINT, p1, p2) AS rn FROM l) SELECT p1, p2, label, CASE WHEN rn <= 200 THEN 'train' WHEN rn <= 250 THEN 'valid' ELSE 'test' END AS part FROM o WHERE rn <= 300""")
+def labelled_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with ids 1 or 7 apart, labelled by source, in three parts."""
+    kinds = _corpus(spark, sf_dir)
+    pairs = kinds.select(F.col("id").alias("p1"), F.explode(F.array(F.col("id") + 1, F.col("id") + 7)).alias("p2"))
+    return statistics.labelled_slices(pairs, kinds, {"train": 200, "valid": 250, "test": 300})
+
+
+@query("SELECT doc_id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic, coalesce(source, 'unk') AS source FROM documents LEFT JOIN labels USING (doc_id)")
+def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels, nulls filled."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return loaders.filled(rows).select("doc_id", "quality", "toxic", "source")
+
+
+@query("SELECT doc_id AS ltable_id, doc_id + 1 AS rtable_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, doc_id + 2 FROM labels WHERE toxic = 1")
+def matches_of_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs labelled 1 of two tables."""
+    own = table(spark, sf_dir, "labels")
+    split = lambda label, step: own.select(F.col("doc_id").alias("ltable_id"), (F.col("doc_id") + step).alias("rtable_id"), F.col(label).alias("label"))
+    return loaders.matches_of_splits(split("quality", 1), split("toxic", 2))
+
+
+@query("SELECT p_partkey, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END + 1e-10, 6) AS likeness FROM (SELECT p_partkey, list_distinct(" + TOKENS.replace("text", "p_name") + ") AS x, list_distinct(" + TOKENS.replace("text", "p_name || ' ' || p_type") + ") AS y FROM part)")
+def pair_similarity_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline stage's likeness of parts' names to their names and types, by distinct words."""
+    text = lambda *c: F.array_join(F.array_distinct(X.words(F.concat_ws(" ", *c))), " ")
+    rows = table(spark, sf_dir, "part").select("p_partkey", text("p_name").alias("a"), text("p_name", "p_type").alias("b"))
+    return rounded(learning.PairSimilarity(first="a", second="b", feature="jaccard", outputCol="likeness").transform(rows).select("p_partkey", "likeness"))
+
+
+# communities and learnt scores -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {JS.removeprefix('WITH ')}, g AS (SELECT p1, p2 FROM w WHERE weight >= 0.5), b2 AS (SELECT p1 AS x, p2 AS y FROM g UNION SELECT p2, p1 FROM g),
+rc AS (SELECT DISTINCT x AS n, x AS r FROM b2 UNION SELECT b2.y, rc.r FROM rc JOIN b2 ON rc.n = b2.x), cl AS (SELECT n, min(r) AS c FROM rc GROUP BY 1),
+dd AS (SELECT p1 AS a, p2 AS b, weight AS v FROM w WHERE weight >= 0.2 UNION ALL SELECT p2, p1, weight FROM w WHERE weight >= 0.2), pl AS (SELECT coalesce(x.c, -1 - a) AS ca, coalesce(y.c, -1 - b) AS cb, v FROM dd LEFT JOIN cl x ON x.n = a LEFT JOIN cl y ON y.n = b),
+kk AS (SELECT ca, sum(v) AS s, sum(CASE WHEN ca = cb THEN v ELSE 0 END) AS i FROM pl GROUP BY 1) SELECT round(sum(i) / sum(s) - sum(s * s) / sum(s) / sum(s) + 1e-10, 6) AS modularity FROM kk""")
+def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modularity of components of weight 0.5 or more on the pairs of weight 0.2 or more."""
+    edges = js_edges(spark, sf_dir)
+    return rounded(communities.modularity(edges.where("weight >= 0.2"), clustering.component_clusters(edges, 0.5)))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simjoin.knn_graph(table(spark, sf_dir, "embeddings"), 10, "vec_id", "embedding")
+    return cut(near.select(F.col("query_id").alias("p1"), F.col("id").alias("p2"), F.col("score").alias("weight")))
+
+
+@query()
+def louvain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of vectors by communities of the graph of the ten nearest."""
+    return communities.community_blocks(_near(spark, sf_dir))
+
+
+@query()
+def leiden_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with connected communities."""
+    return communities.community_blocks(_near(spark, sf_dir), connected=True)
+
+
+@query()
+def kernel_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities by a kernel machine trained on 250 edges of each label; true are edges whose token sets are alike."""
+    marked = cut(_marked(spark, sf_dir))
+    train = evaluation.balanced_split(marked, 500).where("train")
+    return learning.kernel_match_probabilities(marked, train)
+
+
+@query()
+def training_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of logistic regression by the size of its training set."""
+    return learning.training_size_sweep(_marked(spark, sf_dir), [20, 50, 100])
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = members(spark, sf_dir)
+    edges = graph.pairs(own)
+    return graph.features(edges, own, graph.weighted(edges, own, "js").where("weight >= 0.5"))
+
+
+@query()
+def batches_of_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches of 64 alike ones."""
+    return learning.batches_of_alike(spread(table(spark, sf_dir, "documents")), "doc_id", F.col("text"), 64)
+
+
+@query()
+def attribute_clusters_in_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of customers and suppliers clustered by the profiles that MinHash blocks bring together."""
+    return attributes.cluster_attributes_in_two_steps(_bags(spark, sf_dir), threshold=0.1)
+
+
 HEADLINE = ("token_blocks", "cleaned_blocks", "pairs_cbs", "wep", "edge_features", "set_join", "cosine_top", "connected_clusters")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,22 +80,84 @@ def catalog(path: str, kind: str | None = None) -> list[dict]:
         return [e for e in json.load(file) if kind is None or e["type"] == kind]
 
 
+def load_dataset(spark: SparkSession, entry: dict, base_folder: str = "") -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """``profiles, first, second, truth`` of a catalog's entry; a dirty dataset has one table and no ``second``.
+
+    ``truth`` holds the profile ids of the matches, ``p1 < p2``.
+    """
+    folder = f"{base_folder}{entry['base_path']}/"
+    load = load_json_profiles if entry["format"] == "json" else load_csv_profiles
+    read = spark.read.json if entry["format"] == "json" else lambda path: spark.read.csv(path, header=True, quote='"', escape='"')
+    first = load(spark, folder + entry["d1"], entry["d1_id_field"])
+    second = load(spark, folder + entry["d2"], entry["d2_id_field"], 1) if entry["type"] == "clean" else None
+    truth = load_groundtruth(read(folder + entry["gt"]), entry["gt_d1_field"], entry["gt_d2_field"])
+    return first.unionByName(second) if second else first, first, second, convert_groundtruth(truth, first, second)
+
+
+def save_tables(folder: str, **tables: DataFrame) -> None:
+    """Profiles, blocks, indexes or truth under their names, as Parquet that other sessions read."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+def load_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``dataset, profiles, block_sizes`` from a CSV file with a line of headings."""
+    return spark.read.csv(path, header=True, schema="dataset string, profiles int, block_sizes double").where("dataset is not null")
+
+
+def load_labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``left, right, label`` from a file of tab-separated lines."""
+    return spark.read.csv(path, sep="\t", quote="", schema="left string, right string, label int")
+
+
+def matches_of_splits(*splits: DataFrame, first: str = "ltable_id", second: str = "rtable_id", label: str = "label") -> DataFrame:
+    """The id pairs labelled 1 of training, validation and test tables together."""
+    own = [s.where(F.col(label) == 1).select(first, second) for s in splits]
+    out = own[0]
+    for s in own[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def filled(df: DataFrame, text: str = "unk") -> DataFrame:
+    """Nulls (and NaN) of number columns as 0, of text columns as ``text``; other columns stay."""
+    return df.na.fill(0).na.fill(text)
+
+
 def load_feature_sets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=";", header=True).selectExpr("cast(conf_id as int) conf_id", "split(conf, ',') features")
 
 
-def pandas_stream(df: DataFrame, rows: int) -> Iterator:
-    """Chunks of ``rows`` rows as pandas frames; a partition at a time reaches the driver."""
-    import pandas as pd
+def pandas_stream(df: DataFrame, rows: int, by: list[str] | None = None) -> Iterator:
+    """Chunks of ``rows`` rows (the last may be shorter) as pandas frames, ordered by ``by`` if given.
 
-    chunk = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        chunk.append(row)
-        if len(chunk) == rows:
-            yield pd.DataFrame(chunk, columns=df.columns)
-            chunk = []
-    if chunk:
-        yield pd.DataFrame(chunk, columns=df.columns)
+    Tasks pack rows into Arrow streams of at most ``rows`` rows; the driver holds one partition's streams at a time.
+    """
+    ordered = df.orderBy(*by) if by else df
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                sink = pa.BufferOutputStream()
+                own = batch.slice(at, rows)
+                with pa.ipc.new_stream(sink, own.schema) as writer:
+                    writer.write_batch(own)
+                yield pa.RecordBatch.from_pydict({"stream": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    held, count = [], 0
+    for row in ordered.mapInArrow(packed, "stream binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(bytes(row.stream)).read_all())
+        count += held[-1].num_rows
+        while count >= rows:
+            table = pa.concat_tables(held)
+            yield table.slice(0, rows).to_pandas()
+            held, count = [table.slice(rows)], count - rows
+    if count:
+        yield pa.concat_tables(held).to_pandas()
 
 
 def extract_field(profiles: DataFrame, field: str) -> DataFrame:
@@ -104,8 +167,9 @@ def extract_field(profiles: DataFrame, field: str) -> DataFrame:
     return profiles.select("profile_id", value.alias("value")).where(F.trim("value") != "")
 
 
-def write_features(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    writer = df.write.mode("overwrite")
+def write_features(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), single: bool = False) -> None:
+    """Parquet in place of what was at ``path``; ``single`` writes one file by one task, for small results."""
+    writer = (df.coalesce(1) if single else df).write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
