@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions import text as X
-from kinloom.operators.blocking import bands, block_stats, lsh_blocks
+from kinloom.operators.blocking import band_rows, banded_blocks, bands, block_stats, signatures
 from kinloom.operators.components import connected_components
+from kinloom.plans.lineage import cut
 
 
 def attribute_tokens(profiles: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -67,15 +68,16 @@ def cluster_attributes(profiles: DataFrame, hashes: int = 128, threshold: float
 def blocked_profiles(profiles: DataFrame, start: float = 1.0, step: float = 0.05, hashes: int = 128, clean: bool = True) -> tuple[DataFrame, float]:
     """The profiles in a MinHash block that makes a comparison, at the first threshold from ``start`` down that has one.
 
-    Gives that threshold too; where none does, it is the last one tried and no profile is left.
+    Gives that threshold too; where none does, it is the last one tried and no profile is left. Signatures are made
+    once; a threshold whose bands are those of one tried before is passed over.
     """
     held = F.array_distinct(F.flatten(F.transform("attributes", lambda a: X.words(a["value"]))))
-    tries = max(1, round(start / step))
-    for turn in range(tries):
-        threshold = start - turn * step
-        membership = lsh_blocks(profiles, held, hashes, threshold)
+    signed = cut(signatures(profiles, held, hashes))
+    tries = {band_rows(hashes, t): t for t in (start - k * step for k in reversed(range(max(1, round(start / step)))))}
+    for threshold in sorted(tries.values(), reverse=True):
+        membership = banded_blocks(signed, hashes, threshold)
         blocks = block_stats(membership, clean)
-        if turn == tries - 1 or not blocks.isEmpty():
+        if not blocks.isEmpty():
             break
     ids = membership.join(blocks, "block_key", "left_semi").select("profile_id").distinct()
     return profiles.join(ids, "profile_id", "left_semi"), threshold

@@ -79,9 +79,22 @@ def bands(hashes: int, threshold: float) -> int:
 
 def lsh_blocks(profiles: DataFrame, tokens: Column, hashes: int = 64, threshold: float = 0.5) -> DataFrame:
     """Membership by equal signature bands."""
-    count = bands(hashes, threshold)
-    rows = max(1, hashes // count)
-    signed = profiles.select("profile_id", "source_id", minhash(tokens, hashes).alias("s")).where("s is not null")
+    return banded_blocks(signatures(profiles, tokens, hashes), hashes, threshold)
+
+
+def signatures(profiles: DataFrame, tokens: Column, hashes: int) -> DataFrame:
+    """``profile_id, source_id, s``: MinHash signatures of the profiles that have tokens."""
+    return profiles.select("profile_id", "source_id", minhash(tokens, hashes).alias("s")).where("s is not null")
+
+
+def band_rows(hashes: int, threshold: float) -> int:
+    """Minima of a signature that a band holds."""
+    return max(1, hashes // bands(hashes, threshold))
+
+
+def banded_blocks(signed: DataFrame, hashes: int, threshold: float) -> DataFrame:
+    """Membership by equal bands of :func:`signatures`."""
+    count, rows = bands(hashes, threshold), band_rows(hashes, threshold)
     keys = F.array(*(F.concat(F.lit(f"{b}_"), F.xxhash64(F.slice("s", b * rows + 1, rows)).cast("string")) for b in range(min(count, math.ceil(hashes / rows)))))
     return blocks_by_key(signed, keys)
 
