@@ -37,8 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """As :func:`cut`, but through a Parquet table in that folder, for what a loop joins with itself round by round.
 
-    A checkpoint keeps the size that the planner guessed for its plan, and a join's guess is the product of its sides,
-    so over some ten rounds the guesses alone have millions of digits. A table has the size of its files.
+    Loops over checkpoints were seen to slow down from about the tenth round; the likely cause, not proved, is that a
+    checkpoint keeps the planner's guess of its size and a join's guess is the product of its sides. A table has the
+    size of its files.
     """
     ensure_checkpoint_dir(df.sparkSession)
     folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
