@@ -121,7 +121,7 @@ def _class_of(own: np.ndarray) -> int:
 
 
 def whole_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """``node`` and its whole set (``shingles``, sorted 64-bit hashes as bytes) for the classes ``wanted (node, least)``.
+    """``node`` and its whole set (``shingles``, 64-bit hashes) for the classes ``wanted (node, least)``.
 
     Their documents are named to the tasks by a filter of fixed size; what it lets through besides is dropped after.
     """
@@ -134,9 +134,11 @@ def whole_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             some = batch.filter(pa.array(may_hold(bits, batch.column(0).to_numpy())))
             for _, texts in slices(iter([some])):
                 sets = [s for s in shingle_sets(texts, n) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+                offsets = pa.array(np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *map(signed, sets)])))
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), lists], ["node", "shingles"])
 
-    made = rows.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "node long, shingles binary")
+    made = rows.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "node long, shingles array<long>")
     made = cut(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     chosen.unpersist()
     return made
@@ -174,22 +176,15 @@ def unlike(pairs: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole sets reach the threshold."""
-    p, q = t.numerator, t.denominator
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(q * common >= p * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """The pairs ``(a, b)`` whose whole sets reach the threshold.
 
+    Sets are compared row by row where they are joined: batches of pairs of whole sets would fill an executor.
+    """
+    p, q = t.numerator, t.denominator
+    common = F.size(F.array_intersect("of_a", "of_b"))
     named = F.broadcast(pairs) if pairs.count() <= SMALL else pairs
     x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")).join(named, c) for c in ("a", "b"))
-    return x.join(y, ["a", "b"]).select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return x.join(y, ["a", "b"]).where(common * (p + q) >= (F.size("of_a") + F.size("of_b")) * p).select("a", "b")
 
 
 def components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 2) -> DataFrame:

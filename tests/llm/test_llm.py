@@ -293,3 +293,21 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     assert {x.doc_id for x in docs.collect()} == set(range(10))
     assert pipeline.run(spark, str(tmp_path)).select(F.sum("n_tokens")).first()[0] > 1500
+
+
+def test_jaccard_verifies_pairs_without_batches_of_whole_sets(spark):
+    from fractions import Fraction
+
+    from kinloom.llm import jaccard_join
+
+    docs = {1: "a b c d e f g h i j", 2: "a b c d e f g h i k", 3: "x y", 4: "a b c d e f g h i j k l"}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    sets = jaccard_join.whole_sets(rows, 1, jaccard_join.prefixes(rows, 1, Fraction("0.8"), jaccard_join.document_counts(rows, 1)).selectExpr("node", "doc_id as least"))
+    assert dict(sets.dtypes) == {"node": "bigint", "shingles": "array<bigint>"}
+    nodes = [x.node for x in sets.collect()]
+    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes if a < b], "a long, b long")
+    held = {x.node: set(x.shingles) for x in sets.collect()}
+    for t in ("0.8", "0.5", "9/11"):
+        found = jaccard_join.verified(pairs, sets, Fraction(t))
+        assert "ArrowEvalPython" not in str(found._jdf.queryExecution()) and "MapInArrow" not in str(found._jdf.queryExecution())
+        assert {tuple(x) for x in found.collect()} == {(a, b) for a in nodes for b in nodes if a < b and len(held[a] & held[b]) >= Fraction(t) * len(held[a] | held[b])}
