@@ -31,10 +31,19 @@ def profile_schedule(edges: DataFrame, k: int = 20, batch: int = 40, seed: int |
 def mean_weight():
     """The mean of ``weight`` to nine digits, alike in every run and rounded as DuckDB does.
 
-    Halves are common among means of weights of nine digits, and a sum of doubles in any order tips them either way, so
-    weights are added in rising order. The product is rounded, not the shortest decimal of the mean.
+    Halves are common among means of weights of nine digits, and a plain sum of doubles tips them by its order. What each
+    addition loses is added at the end, so the sum is that of the doubles themselves, rounded once; weights are added in
+    rising order, so that it is alike even where twice the digits do not hold it. The product is rounded, not the
+    shortest decimal of the mean.
     """
-    total = F.aggregate(F.array_sort(F.collect_list("weight")), F.lit(0.0), lambda x, y: x + y)
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("lost"))
+
+    def add(x, w):
+        total = x["sum"] + w
+        back = total - x["sum"]
+        return F.struct(total.alias("sum"), (x["lost"] + ((x["sum"] - (total - back)) + (w - back))).alias("lost"))
+
+    total = F.aggregate(F.array_sort(F.collect_list("weight")), zero, add, lambda x: x["sum"] + x["lost"])
     return F.round(total / F.count("weight") * 1e9) / 1e9
 
 
